@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import catalog_lines  # noqa: F401
+from . import catalog_customers, catalog_lines  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
