@@ -94,7 +94,8 @@ def score_from_cuts(column: Column, cuts) -> Column:
 
 # --- exact quantiles -----------------------------------------------------------------------------------------------
 
-_DIGITS = [64, 64 * 4096]
+_DIGITS = [4096, 4096 * 4096]
+FEW_ROWS = 1_000_000
 
 
 def _cell(resolution) -> Column:
@@ -117,26 +118,28 @@ def _holds_a_rank(quantiles) -> Column:
     return reduce(or_, [inside(r) for low, high, _ in _ranks(quantiles) for r in (low, high)])
 
 
-def exact_quantiles(df, columns, quantiles, by=()):
-    """Linear-interpolation quantiles (as pandas and ``percentile``): one row per group and column.
-
-    Output: ``*by, feature, size, q0, q1, ...``. A radix select: count coarse cells, keep the cells that hold a wanted
-    rank, count finer cells inside them, and sort only the values of the last cells. No pass shuffles more than cell
-    counts, apart from the values of the selected cells.
-    """
-    by = list(by)
-    keys = [*by, "feature"]
+def _long(df, columns, by):
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    values = df.selectExpr(*[f"`{b}`" for b in by], f"stack({len(columns)}, {pairs}) as (feature, value)").where(
-        "value is not null"
+    stacked = df.selectExpr(*[f"`{b}`" for b in by], f"stack({len(columns)}, {pairs}) as (feature, value)")
+    return stacked.where("value is not null")
+
+
+def _select_cells(values, here, scope, quantiles, first):
+    """Cells of one level that hold a wanted rank, with the number of group values before each and inside it."""
+    carried = [] if first else ["size", "start"]
+    counted = values.groupBy(*scope, here, *carried).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*scope)
+    running = group.orderBy(here).rowsBetween(*_BEFORE)
+    start = F.lit(0) if first else F.col("start")
+    size = F.sum("n").over(group.rowsBetween(*_ALL)) if first else F.col("size")
+    placed = counted.withColumn("size", size).withColumn(
+        "before", start + F.coalesce(F.sum("n").over(running), F.lit(0))
     )
-    cells, scope = None, keys
-    for level, resolution in enumerate(_DIGITS):
-        here = f"cell{level}"
-        values = values.withColumn(here, _cell(resolution))
-        cells = _select_cells(_restrict(values, cells, scope), here, scope, quantiles, cells is None)
-        scope = [*scope, here]
-    values = _restrict(values, cells, scope)
+    return placed.where(_holds_a_rank(quantiles)).select(*scope, here, "size", F.col("before").alias("start"), "n")
+
+
+def _values_at_ranks(values, scope, keys, quantiles):
+    """Interpolated quantiles from the values of the selected cells."""
     last = values.groupBy(*scope, "value", "size", "start").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*scope).orderBy("value").rowsBetween(*_BEFORE)
     placed = last.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(order), F.lit(0)))
@@ -150,28 +153,46 @@ def exact_quantiles(df, columns, quantiles, by=()):
     return ends.select(*keys, "size", *[between(i, part).alias(f"q{i}") for i, (_, _, part) in enumerate(ranks)])
 
 
-def _restrict(values, cells, scope):
-    return values if cells is None else values.join(cells, scope)
-
+def exact_quantiles(df, columns, quantiles, by=()):
+    """Linear-interpolation quantiles (as pandas and ``percentile``): one row per group and column.
 
-def _select_cells(values, here, scope, quantiles, first):
-    """Cells of one level that hold a wanted rank, with the number of group values that come before each."""
-    carried = [] if first else ["size", "start"]
-    counted = values.groupBy(*scope, here, *carried).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*scope)
-    running = group.orderBy(here).rowsBetween(*_BEFORE)
-    start = F.lit(0) if first else F.col("start")
-    size = F.sum("n").over(group.rowsBetween(*_ALL)) if first else F.col("size")
-    placed = counted.withColumn("size", size).withColumn(
-        "before", start + F.coalesce(F.sum("n").over(running), F.lit(0))
-    )
-    return placed.where(_holds_a_rank(quantiles)).select(*scope, here, "size", F.col("before").alias("start"))
+    Output: ``*by, feature, size, q0, q1, ...``. A radix select: count coarse cells, keep the cells that hold a wanted
+    rank, count finer cells inside them, and sort only the values of the last cells. No pass shuffles more than cell
+    counts, apart from the values of the selected cells.
+    """
+    keys = [*by, "feature"]
+    values, cells, scope = _long(df, columns, by), None, keys
+    for level, resolution in enumerate(_DIGITS):
+        here = f"cell{level}"
+        values = values.withColumn(here, _cell(resolution))
+        source = values if cells is None else values.join(cells, scope)
+        cells = _select_cells(source, here, scope, quantiles, cells is None).drop("n")
+        scope = [*scope, here]
+    return _values_at_ranks(values.join(cells, scope), scope, keys, quantiles)
 
 
 def global_quantiles(df, columns, quantiles):
-    """The same for the whole table, as ``{column: [values]}`` on the driver (a handful of numbers)."""
-    rows = exact_quantiles(df, columns, quantiles).collect()
-    found = {r["feature"]: [r[f"q{i}"] for i in range(len(quantiles))] for r in rows}
+    """The same for the whole table, as ``{column: [values]}`` on the driver.
+
+    The selected cells (two per column and quantile) come to the driver between passes, so a second, finer pass runs only
+    where a cell holds more than ``FEW_ROWS`` rows.
+    """
+    spark, keys = df.sparkSession, ["feature"]
+    values, cells, scope = _long(df, columns, []), None, keys
+    for level, resolution in enumerate(_DIGITS):
+        here = f"cell{level}"
+        values = values.withColumn(here, _cell(resolution))
+        source = values if cells is None else values.join(F.broadcast(cells), scope)
+        selected = _select_cells(source, here, scope, quantiles, cells is None)
+        rows = selected.collect()
+        cells = spark.createDataFrame(rows, selected.schema).drop("n")
+        scope = [*scope, here]
+        if max((r["n"] for r in rows), default=0) <= FEW_ROWS:
+            break
+    found = {
+        r["feature"]: [r[f"q{i}"] for i in range(len(quantiles))]
+        for r in _values_at_ranks(values.join(F.broadcast(cells), scope), scope, keys, quantiles).collect()
+    }
     return {c: found.get(c, [None] * len(quantiles)) for c in columns}
 
 

@@ -70,7 +70,6 @@ def logistic_pipeline(train, features, inverse_penalty=INVERSE_PENALTY, target=T
                 elasticNetParam=0.0,
                 regParam=1.0 / (inverse_penalty * counts["_n"]),
                 maxIter=2000,
-                tol=1e-8,
             ),
         ]
     )
