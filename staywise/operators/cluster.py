@@ -99,12 +99,10 @@ def adjusted_rand(labels, a, b):
     """Adjusted Rand index of two label columns from their contingency table (k x k rows)."""
     pairs = lambda n: n * (n - 1) / 2
     table = labels.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    cells = table.agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("n"))
-    sums = [
-        table.groupBy(side).agg(F.sum("n").alias("m")).agg(F.sum(pairs(F.col("m"))).alias(name))
-        for side, name in ((a, "in_a"), (b, "in_b"))
-    ]
-    both = cells.join(F.broadcast(sums[0])).join(F.broadcast(sums[1]))
+    within = lambda side: table.groupBy(side).agg(F.sum("n").alias("m")).agg(F.sum(pairs(F.col("m")))).scalar()
+    both = table.agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("n")).select(
+        "both", "n", within(a).alias("in_a"), within(b).alias("in_b")
+    )
     expected = F.col("in_a") * F.col("in_b") / pairs(F.col("n"))
     ceiling = (F.col("in_a") + F.col("in_b")) / 2
     index = F.when(ceiling == expected, F.lit(1.0)).otherwise((F.col("both") - expected) / (ceiling - expected))
@@ -129,26 +127,19 @@ def cluster_profile(df, features=CLUSTER_FEATURES):
         F.sum("monetary").alias("_revenue"),
         F.avg((F.col("status") == "Lapsed").cast("double")).alias("lapsed_share"),
     )
-    whole = df.agg(F.sum("monetary").alias("_all"))
-    return (
-        parts.join(F.broadcast(whole))
-        .withColumn("revenue_share", F.col("_revenue") / F.col("_all"))
-        .drop("_revenue", "_all")
-    )
+    everything = df.agg(F.sum("monetary")).scalar()
+    return parts.withColumn("revenue_share", F.col("_revenue") / everything).drop("_revenue")
 
 
 def cluster_names(profile, population):
     """Activity and value words from the cluster means in standard deviations of all customers."""
-    columns = ["recency_days", "frequency", "monetary"]
-    whole = population.agg(
-        *[F.avg(c).alias(f"{c}__mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}__std") for c in columns]
-    )
-    z = lambda c: F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__std"))
+    whole = lambda measure, c: population.agg(measure(c)).scalar()
+    z = lambda c: F.try_divide(F.col(c) - whole(F.avg, c), whole(F.stddev_pop, c))
     worth = (z("frequency") + z("monetary")) / 2
     activity = F.when(z("recency_days") < -NAMED_BEYOND, "Active").when(z("recency_days") > NAMED_BEYOND, "Dormant")
     tier = F.when(worth > NAMED_BEYOND, "high-value").when(worth < -NAMED_BEYOND, "low-value").otherwise("mid-value")
     name = F.format_string("C%d: %s, %s", F.col("cluster"), activity.otherwise("Cooling"), tier)
-    return profile.join(F.broadcast(whole)).select("cluster", name.alias("cluster_name"))
+    return profile.select("cluster", name.alias("cluster_name"))
 
 
 def cluster_heat(profile, features=CLUSTER_FEATURES):

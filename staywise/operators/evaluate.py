@@ -147,18 +147,15 @@ def risk_table(df, t_low, t_high):
 def decile_lift(df, bins=10, tie_break="customer_id"):
     """Groups of equal size by descending score (position order inside ties by id), with rate and lift."""
     ranked = global_row_number(df.select(tie_break, "y", "p"), [F.col("p").desc(), F.col(tie_break)])
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("y").cast("double")).alias("_base"))
-    scaled = (F.col("position") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))
+    size = ranked.agg(F.count(F.lit(1))).scalar()
+    base = ranked.agg(F.avg(F.col("y").cast("double"))).scalar()
+    scaled = (F.col("position") - 1) * bins / F.greatest(F.col("size") - 1, F.lit(1))
     decile = F.greatest(F.lit(1), F.ceil(scaled)).cast("bigint")
     return (
-        ranked.join(F.broadcast(total))
+        ranked.withColumn("size", size)
         .groupBy(decile.alias("decile"))
-        .agg(
-            F.count(F.lit(1)).alias("customers"),
-            F.avg(F.col("y").cast("double")).alias("churn_rate"),
-            F.max("_base").alias("_base"),
-        )
-        .select("decile", "customers", "churn_rate", (F.col("churn_rate") / F.col("_base")).alias("lift"))
+        .agg(F.count(F.lit(1)).alias("customers"), F.avg(F.col("y").cast("double")).alias("churn_rate"))
+        .select("decile", "customers", "churn_rate", (F.col("churn_rate") / base).alias("lift"))
     )
 
 

@@ -260,8 +260,8 @@ def permutation_importance(model, df, features, repeats=5, seed=42, target=model
     scored = models.probability(model, variants, ("feature", "repeat", "y"))
     permuted = _average_precision(scored, ["feature", "repeat"])
     whole = models.probability(model, keep, (F.lit("all").alias("feature"), "y"))
-    plain = _average_precision(whole, ["feature"]).select(F.col("ap").alias("plain"))
-    drops = permuted.join(F.broadcast(plain)).withColumn("drop", F.col("plain") - F.col("ap"))
+    plain = _average_precision(whole, ["feature"]).select("ap").scalar()
+    drops = permuted.withColumn("drop", plain - F.col("ap"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("pr_auc_drop"), F.stddev_pop("drop").alias("std")).orderBy(
         F.col("pr_auc_drop").desc(), "feature"
     )

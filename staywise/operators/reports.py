@@ -1,9 +1,11 @@
 """Report tables: monthly figures, histograms, cohorts, comparisons and worklists as DataFrames."""
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window, functions as F
 
-from ..functions.stats import cumdist, exact_quantiles
+from ..functions.stats import cumdist, exact_quantiles, global_quantiles
 from .orders import purchases
 
 # Fixed values.
@@ -73,15 +75,14 @@ def cohort_retention(orders, months=COHORT_MONTHS, minimum=COHORT_MINIMUM):
     dated = active.withColumn("cohort", first).withColumn("k", index("m") - index("cohort"))
     counts = dated.where(F.col("k") <= months).groupBy("cohort", "k").agg(F.count(F.lit(1)).alias("customers"))
     sizes = counts.where("k = 0").select("cohort", F.col("customers").alias("size"))
-    last = orders.agg(month(F.max("order_date")).alias("last"))
-    # at most one row per month of the calendar on every side from here on
+    last = orders.agg(month(F.max("order_date"))).scalar()
     grid = sizes.where(F.col("size") >= minimum).select(
         "cohort", "size", F.explode(F.sequence(F.lit(0), F.lit(months))).alias("k")
     )
     visible = index("cohort") + F.col("k") <= index("last")
     return (
         grid.join(counts, ["cohort", "k"], "left")
-        .join(F.broadcast(last))
+        .withColumn("last", last)
         .select(
             "cohort",
             "k",
@@ -119,10 +120,8 @@ def describe(df, column):
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    quartiles = exact_quantiles(df, [column], [0.25, 0.5, 0.75]).select(
-        F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
-    )
-    return shape.join(F.broadcast(quartiles), F.lit(True), "left")
+    p25, p50, p75 = global_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    return shape.select("*", F.lit(p25).alias("p25"), F.lit(p50).alias("p50"), F.lit(p75).alias("p75"))
 
 
 # --- distributions -------------------------------------------------------------------------------------------------
@@ -132,11 +131,11 @@ def histogram(df, column, bins=40, log=False):
     """Equal-width bins between the smallest and largest value (of log10 for ``log``)."""
     value = F.log10(F.when(F.col(column) > 0, F.col(column))) if log else F.col(column).cast("double")
     values = df.select(value.alias("v")).where("v is not null")
-    span = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    low, high = values.agg(F.min("v")).scalar(), values.agg(F.max("v")).scalar()
     width = (F.col("high") - F.col("low")) / bins
     bin_of = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width)), F.lit(bins - 1)), F.lit(0))
     return (
-        values.join(F.broadcast(span))
+        values.select("v", low.alias("low"), high.alias("high"))
         .groupBy(bin_of.cast("bigint").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("_low"), F.max("high").alias("_high"))
         .select(
@@ -183,11 +182,11 @@ def skew_table(df, columns):
 def share_of_total(df, group, value="monetary"):
     """Customers and revenue per group as shares of the whole."""
     parts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
-    whole = df.agg(F.count(F.lit(1)).alias("_all"), F.sum(value).alias("_sum"))
-    return parts.join(F.broadcast(whole)).select(
+    everyone, everything = df.agg(F.count(F.lit(1))).scalar(), df.agg(F.sum(value)).scalar()
+    return parts.select(
         *[c for c in parts.columns if not c.startswith("_")],
-        (F.col("_n") / F.col("_all")).alias("customer_share"),
-        (F.col("_v") / F.col("_sum")).alias("revenue_share"),
+        (F.col("_n") / everyone).alias("customer_share"),
+        (F.col("_v") / everything).alias("revenue_share"),
     )
 
 
@@ -249,12 +248,40 @@ def medians_by_outcome(snapshot, columns=MEDIANS):
     return wide.withColumn("direction", F.when(a > b, "higher").when(a < b, "lower").otherwise("equal"))
 
 
-def correlation(df, features, pairs_per_pass=60):
-    """Pearson correlation of every pair over the rows where both are known. Output: ``a, b, r``."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
-    return row.select(F.inline(F.array(*entries)))
+def correlation(df, features):
+    """Pearson correlation of every pair over the rows where both are known. Output: ``a, b, r``.
+
+    Each partition adds up its moment matrices (features x features, so their size does not depend on the rows) from
+    Arrow batches; the partial sums of a pair are then added in Spark. Values are centred first to keep the digits.
+    """
+    means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+    centred = df.select(*[(F.col(f).cast("double") - F.lit(means[f])).alias(f) for f in features])
+    size = len(features)
+
+    def moments(batches):
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            square = x * x
+            total += np.stack(
+                [known.T @ known, x.T @ known, known.T @ x, square.T @ known, known.T @ square, x.T @ x]
+            )
+        first, second = np.triu_indices(size)
+        rows = {"a": [features[i] for i in first], "b": [features[j] for j in second]}
+        rows.update({name: total[m][first, second] for m, name in enumerate(["n", "sa", "sb", "saa", "sbb", "sab"])})
+        yield pd.DataFrame(rows)
+
+    schema = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
+    sums = (
+        centred.mapInPandas(moments, schema)
+        .groupBy("a", "b")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    )
+    n, sa, sb, saa, sbb, sab = (F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    spread = F.sqrt((n * saa - sa * sa) * (n * sbb - sb * sb))
+    return sums.select("a", "b", F.try_divide(n * sab - sa * sb, spread).alias("r"))
 
 
 def split_table(snapshot):
@@ -279,16 +306,10 @@ def threshold_tradeoff(df, margin=0.30, grid=THRESHOLD_GRID, interventions=INTER
         F.sum(F.when(F.col("y") == 1, annual).otherwise(0.0)).alias("_margin"),
     )
     grid_table = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "step int, threshold double")
-    # len(grid) + 1 rows on one side, len(grid) on the other
-    reached = (
-        F.broadcast(grid_table)
-        .join(per_step, F.lit(True), "left")
-        .groupBy("threshold")
-        .agg(
-            *[F.sum(F.when(F.col("passed") >= F.col("step"), F.col(c)).otherwise(0)).alias(c) for c in ("_n", "_y", "_margin")],
-            F.sum("_y").alias("_all"),
-        )
-    )
+    steps = per_step.where("passed > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("passed"))))
+    sums = steps.groupBy("step").agg(*[F.sum(c).alias(c) for c in ("_n", "_y", "_margin")])
+    churners = df.agg(F.sum(F.col("y").cast("bigint"))).scalar()
+    reached = grid_table.join(sums, "step", "left").fillna(0).withColumn("_all", churners)
     benefit = [
         (F.col("_margin") * save - cost * F.col("_n")).alias(f"net_{name}") for name, cost, save in interventions
     ]

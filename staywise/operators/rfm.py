@@ -80,12 +80,10 @@ def segment_summary(df):
     wide = medians.groupBy("rfm_segment").agg(
         *[F.max(F.when(F.col("feature") == c, F.col("q0"))).alias(name) for c, name in columns.items()]
     )
-    whole = df.agg(F.count(F.lit(1)).alias("_n"), F.sum("monetary").alias("_revenue"))
-    # six segments and one total row
+    everyone = df.agg(F.count(F.lit(1))).scalar()
+    revenue = df.agg(F.sum("monetary")).scalar()
     return (
         totals.join(wide, "rfm_segment")
-        .join(F.broadcast(whole))
-        .withColumn("customer_share", F.col("customers") / F.col("_n"))
-        .withColumn("revenue_share", F.col("revenue") / F.col("_revenue"))
-        .drop("_n", "_revenue")
+        .withColumn("customer_share", F.col("customers") / everyone)
+        .withColumn("revenue_share", F.col("revenue") / revenue)
     )

@@ -89,29 +89,23 @@ def with_demographics(df, customers):
 
 
 def headline(customers, orders, lines, scored):
-    """One row of totals; each table is aggregated once to a single row before they are put side by side."""
-    returned = F.col("is_return")
-    parts = [
-        customers.agg(F.count(F.lit(1)).alias("n_customers_total")),
-        orders.agg(
-            F.count(F.lit(1)).alias("n_orders"), F.count_distinct("customer_id").alias("n_customers_with_orders")
-        ),
-        lines.agg(
-            F.count_if(~returned).alias("n_lines"),
-            F.sum(F.when(~returned, F.col("transaction_value"))).alias("gross_revenue"),
-            F.sum("transaction_value").alias("net_revenue"),
-            F.coalesce(-F.sum(F.when(returned, F.col("transaction_value"))), F.lit(0.0)).alias("return_value"),
-        ),
-        scored.agg(
-            F.count_if(F.col("status") == "Active").alias("n_active"),
-            F.count_if(F.col("status") == "Lapsed").alias("n_lapsed"),
-            F.avg((F.col("status") == "Lapsed").cast("double")).alias("lapsed_share"),
-            F.count_if(F.col("risk_level") == "High").alias("n_high_risk"),
-            F.avg("monetary").alias("avg_customer_value"),
-            F.avg("churn_prob").alias("mean_pred_churn_active"),
-        ),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(F.broadcast(part))
-    return out
+    """One row of totals over the four tables; the totals of the others enter as scalar subqueries."""
+    returned, amount = F.col("is_return"), F.col("transaction_value")
+    total = lambda df, measure: df.agg(measure).scalar()
+    return scored.agg(
+        F.count_if(F.col("status") == "Active").alias("n_active"),
+        F.count_if(F.col("status") == "Lapsed").alias("n_lapsed"),
+        F.avg((F.col("status") == "Lapsed").cast("double")).alias("lapsed_share"),
+        F.count_if(F.col("risk_level") == "High").alias("n_high_risk"),
+        F.avg("monetary").alias("avg_customer_value"),
+        F.avg("churn_prob").alias("mean_pred_churn_active"),
+    ).select(
+        "*",
+        total(customers, F.count(F.lit(1))).alias("n_customers_total"),
+        total(orders, F.count(F.lit(1))).alias("n_orders"),
+        total(orders, F.count_distinct("customer_id")).alias("n_customers_with_orders"),
+        total(lines, F.count_if(~returned)).alias("n_lines"),
+        total(lines, F.sum(F.when(~returned, amount))).alias("gross_revenue"),
+        total(lines, F.sum(amount)).alias("net_revenue"),
+        total(lines, F.coalesce(-F.sum(F.when(returned, amount)), F.lit(0.0))).alias("return_value"),
+    )
