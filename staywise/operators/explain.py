@@ -1,10 +1,11 @@
 """Why a customer has this score: contributions in log-odds, texts, and the two importance rankings."""
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window, functions as F
+from pyspark.sql import SparkSession, Window, functions as F
 
 from ..functions.stats import global_row_number
 from ..session import shared_folder
@@ -76,26 +77,28 @@ def linear_contributions(model, df, features, background):
 
 
 def _read_trees(model):
-    """Split nodes and covers of every tree, from the model's own saved form (bounded by rounds x 2^depth nodes)."""
+    """(weight, root) of every tree from the model's saved node table, which holds rounds x 2^(depth+1) rows at most."""
     boosted = model.stages[-1]
-    weights = list(boosted.treeWeights)
-    trees = []
-    for weight, tree in zip(weights, boosted.trees):
-        trees.append((weight, _node(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree.rootNode())))
-    return trees
-
-
-def _node(node):
-    cover = float(node.impurityStats().count())
-    if node.subtreeDepth() == 0:
-        return {"value": float(node.prediction()), "cover": cover}
-    split = node.split()
+    spark = SparkSession.getActiveSession()
+    path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex[:12]}"
+    boosted.write().save(path)
+    nodes = {}
+    for row in spark.read.parquet(f"{path}/data").collect():
+        nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
+    return [(weight, _node(nodes[tree], 0)) for tree, weight in enumerate(boosted.treeWeights)]
+
+
+def _node(nodes, key):
+    data = nodes[key]
+    cover = float(data["rawCount"])
+    if data["leftChild"] < 0:
+        return {"value": data["prediction"], "cover": cover}
     return {
-        "feature": int(split.featureIndex()),
-        "threshold": float(split.threshold()),
+        "feature": data["split"]["featureIndex"],
+        "threshold": data["split"]["leftCategoriesOrThreshold"][0],
         "cover": cover,
-        "left": _node(node.leftChild()),
-        "right": _node(node.rightChild()),
+        "left": _node(nodes, data["leftChild"]),
+        "right": _node(nodes, data["rightChild"]),
     }
 
 

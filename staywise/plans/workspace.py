@@ -7,13 +7,16 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, features, orders, rfm, standardize, value
-from ..operators.evaluate import risk_level
+from ..operators import cleaning, cluster, explain, features, models, orders, rfm, standardize, value
+from ..operators.evaluate import risk_level, risk_thresholds
 from ..session import stage
 from ..sources import star
 
 _spaces = {}
 
+# Early stopping ends the boosting long before this on the bound tables; it bounds the smallest ones, which train without.
+BOOSTING_ROUNDS = 40
+
 
 def workspace(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
@@ -30,6 +33,7 @@ class Workspace:
 
     def __init__(self, spark, folder):
         self.spark, self.folder = spark, folder
+        self._contributions = {}
 
     def table(self, name):
         return star.table(self.spark, self.folder, name)
@@ -142,6 +146,47 @@ class Workspace:
             with_people.join(value.favourite_category(self.lines), "customer_id", "left"), "scored"
         )
 
+    # --- models --------------------------------------------------------------------------------------------------
+
+    @cached_property
+    def used_features(self):
+        return features.select_features(self.split("train"), self.available)[0]
+
+    @cached_property
+    def selection(self):
+        return models.select_model(self.split("train"), self.split("validation"), self.used_features, rounds=BOOSTING_ROUNDS)
+
+    @cached_property
+    def test_scores(self):
+        """Every candidate on test: ``model, customer_id, y, p``."""
+        parts = [
+            models.outcomes(m, self.split("test")).withColumn("model", F.lit(name))
+            for name, m in self.selection.models.items()
+        ]
+        return stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "test-scores")
+
+    @cached_property
+    def thresholds(self):
+        scores = models.outcomes(self.selection.best, self.split("validation"))
+        return risk_thresholds(stage(scores, "validation-scores"))
+
+    def scored_by_model(self):
+        low, high, _ = self.thresholds
+        return models.score_customers(self.selection.best, self.segmented, low, high)
+
+    def contributions(self, name):
+        """Contributions of one candidate on the test customers, staged per candidate."""
+        if name not in self._contributions:
+            used = ["recency_days"] if name == models.RECENCY else self.used_features
+            found, base = explain.contributions(self.selection.models[name], self.split("test"), used)
+            self._contributions[name] = stage(found, "contributions"), base, used
+        return self._contributions[name]
+
+    @cached_property
+    def cluster_vectors(self):
+        usable, _ = cluster.usable_features(self.at_end)
+        return stage(cluster.vectors(cluster.prepared_columns(self.at_end, usable), usable), "cluster-vectors")
+
     # --- dirty binding -------------------------------------------------------------------------------------------
 
     @cached_property
