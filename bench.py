@@ -9,7 +9,7 @@ import time
 from staywise.plans.catalog import QUERIES
 from staywise.session import local_session
 
-HEADLINES = [
+HEADLINES = os.environ.get("BENCH_ONLY", "").split() or [
     "l1_monthly_revenue",
     "l3_repeat_purchase_rate",
     "p3_column_mapping",

@@ -118,16 +118,19 @@ def _holds_a_rank(quantiles) -> Column:
     return reduce(or_, [inside(r) for low, high, _ in _ranks(quantiles) for r in (low, high)])
 
 
-def _long(df, columns, by):
+def _long(df, columns, by, weight="1L"):
+    """``*by, feature, value, weight``: one row per value that counts ``weight`` times."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    stacked = df.selectExpr(*[f"`{b}`" for b in by], f"stack({len(columns)}, {pairs}) as (feature, value)")
+    stacked = df.selectExpr(
+        *[f"`{b}`" for b in by], f"stack({len(columns)}, {pairs}) as (feature, value)", f"{weight} as weight"
+    )
     return stacked.where("value is not null")
 
 
 def _select_cells(values, here, scope, quantiles, first):
     """Cells of one level that hold a wanted rank, with the number of group values before each and inside it."""
     carried = [] if first else ["size", "start"]
-    counted = values.groupBy(*scope, here, *carried).agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy(*scope, here, *carried).agg(F.sum("weight").alias("n"))
     group = Window.partitionBy(*scope)
     running = group.orderBy(here).rowsBetween(*_BEFORE)
     start = F.lit(0) if first else F.col("start")
@@ -140,7 +143,7 @@ def _select_cells(values, here, scope, quantiles, first):
 
 def _values_at_ranks(values, scope, keys, quantiles):
     """Interpolated quantiles from the values of the selected cells."""
-    last = values.groupBy(*scope, "value", "size", "start").agg(F.count(F.lit(1)).alias("n"))
+    last = values.groupBy(*scope, "value", "size", "start").agg(F.sum("weight").alias("n"))
     order = Window.partitionBy(*scope).orderBy("value").rowsBetween(*_BEFORE)
     placed = last.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(order), F.lit(0)))
     at = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("n")), F.col("value")))
@@ -153,15 +156,17 @@ def _values_at_ranks(values, scope, keys, quantiles):
     return ends.select(*keys, "size", *[between(i, part).alias(f"q{i}") for i, (_, _, part) in enumerate(ranks)])
 
 
-def exact_quantiles(df, columns, quantiles, by=()):
+def exact_quantiles(df, columns, quantiles, by=(), weight="1L"):
     """Linear-interpolation quantiles (as pandas and ``percentile``): one row per group and column.
 
-    Output: ``*by, feature, size, q0, q1, ...``. A radix select: count coarse cells, keep the cells that hold a wanted
-    rank, count finer cells inside them, and sort only the values of the last cells. No pass shuffles more than cell
-    counts, apart from the values of the selected cells.
+    Output: ``*by, feature, size, q0, q1, ...``. Equal values of a group are counted on the map side first, so a group or
+    a value that holds a third of the rows is not a hot key afterwards. Then a radix select: count coarse cells, keep the
+    cells that hold a wanted rank, count finer cells inside them, and sort only the values of the last cells.
+    ``weight`` is an expression for rows that stand for several equal ones.
     """
     keys = [*by, "feature"]
-    values, cells, scope = _long(df, columns, by), None, keys
+    counted = _long(df, columns, by, weight).groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    values, cells, scope = counted, None, keys
     for level, resolution in enumerate(_DIGITS):
         here = f"cell{level}"
         values = values.withColumn(here, _cell(resolution))

@@ -87,9 +87,9 @@ def parse_date(column: Column, dtype=None, date_format=None, dayfirst=False) ->
     day_first, month_first = reordered(_SLASHED, "$3-$2-$1"), reordered(_SLASHED, "$3-$1-$2")
     slashed = F.coalesce(day_first, month_first) if dayfirst else F.coalesce(month_first, day_first)
     return (
-        F.when(bare.rlike(_SLASHED), slashed)
+        F.when(bare.rlike(r"^\d{4}"), iso_date(column))
+        .when(bare.rlike(_SLASHED), slashed)
         .when(bare.rlike(_DASHED_OR_DOTTED), reordered(_DASHED_OR_DOTTED, "$4-$3-$1"))
-        .otherwise(iso_date(column))
     )
 
 

@@ -100,16 +100,16 @@ def impute_prices(lines):
     """Median valid price of the product, joined only to the lines that need it. Adds ``price_imputed``."""
     alive = _alive() if "drop_reason" in lines.columns else F.lit(True)
     needs = alive & ~price_ok()
-    bad = lines.where(needs)
-    wanted = bad.select("product_id").where(F.col("product_id").isNotNull()).distinct()
-    valid = lines.where(alive & price_ok()).join(wanted, "product_id", "left_semi").select("product_id", "unit_price")
-    medians = exact_quantiles(valid, ["unit_price"], [0.5], by=["product_id"]).select("product_id", F.col("q0").alias("_m"))
-    repaired = bad.join(medians, "product_id", "left").withColumn("unit_price", F.col("_m"))
-    return (
-        lines.where(~needs)
-        .withColumn("price_imputed", F.lit(False))
-        .unionByName(repaired.select(*lines.columns, F.lit(True).alias("price_imputed")))
-    )
+    bad, named = lines.where(needs), F.col("product_id").isNotNull()
+    wanted = bad.where(named).select("product_id").distinct()
+    prices = lines.where(alive & price_ok() & named).groupBy("product_id", "unit_price").agg(F.count(F.lit(1)).alias("n"))
+    medians = exact_quantiles(
+        prices.join(wanted, "product_id", "left_semi"), ["unit_price"], [0.5], by=["product_id"], weight="n"
+    ).select("product_id", F.col("q0").alias("_m"))
+    repaired = bad.where(named).join(medians, "product_id", "left").withColumn("unit_price", F.col("_m"))
+    nameless = bad.where(~named).withColumn("unit_price", F.lit(None).cast("double"))
+    touched = repaired.select(*lines.columns).unionByName(nameless).withColumn("price_imputed", F.lit(True))
+    return lines.where(~needs).withColumn("price_imputed", F.lit(False)).unionByName(touched)
 
 
 def percent_discount() -> Column:
@@ -189,9 +189,12 @@ def locations(customers):
 
 
 def before_registration(lines, customers):
+    """Lines are counted per customer and day before the join, so a customer's size does not matter to it."""
     registered = customers.select("customer_id", "customer_registration_date")
     early = F.col("date") < F.col("customer_registration_date")
-    return lines.join(registered, "customer_id").agg(F.count_if(early).alias("before_registration"))
+    per_day = lines.groupBy("customer_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(F.sum(F.when(early, F.col("n"))), F.lit(0))
+    return per_day.join(registered, "customer_id").agg(total.alias("before_registration"))
 
 
 # --- the whole chain -----------------------------------------------------------------------------------------------
@@ -210,7 +213,8 @@ def grade_lines(lines, cfg, available):
 
     Rows are never counted step by step: the reason is a column, so kept rows and the account come from one scan.
     """
-    graded = parse_dates(lines, cfg)
+    # read twice below (to learn the spellings and to grade), so the raw text is parsed and mapped only once
+    graded = stage(parse_dates(lines, cfg), "parsed-lines")
     spelled = [c for c in ("category", "payment_method") if available.get(c)]
     if spelled:
         graded = unify_lines(graded, spelled)

@@ -91,7 +91,6 @@ def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUND
         minInstancesPerNode=leaf,
         maxIter=rounds,
         seed=seed,
-        maxBins=64,
     )
     if row["_n"] > EARLY_STOP_ABOVE:
         classifier = classifier.setValidationIndicatorCol("held_out").setParams(validationTol=0.0)
@@ -119,7 +118,7 @@ def outcomes(model, df, target=TARGET):
     return probability(model, df, ("customer_id", F.col(target).alias("y")))
 
 
-def tune_boosting(train, validation, features, seed=42, rounds=ROUNDS, grid=GRID, parallel=4):
+def tune_boosting(train, validation, features, seed=42, rounds=ROUNDS, grid=GRID, parallel=8):
     """Every grid point scored by average precision on validation; ``[(score, rate, depth, leaf, model)]``, best first."""
 
     def one(point):
@@ -174,7 +173,7 @@ def validation_row(name, model, validation):
     }
 
 
-def select_model(train, validation, features, metric="pr_auc", seed=42, rounds=ROUNDS, grid=GRID, parallel=4):
+def select_model(train, validation, features, metric="pr_auc", seed=42, rounds=ROUNDS, grid=GRID, parallel=8):
     """Fit the three candidates on train and choose by the validation metric. Test data is not an argument."""
     if metric not in SELECTION_METRICS:
         raise ValueError(f"selection_metric must be one of {SELECTION_METRICS}")

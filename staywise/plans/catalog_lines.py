@@ -538,7 +538,7 @@ register(
     DIRTY,
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{'double' if c in ('quantity', 'unit_price', 'discount') else 'string'}' AS type,
-             count(*) - count({c}) AS missing, 100.0 * (count(*) - count({c})) / count(*) AS missing_pct,
+             count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct,
              count(DISTINCT {c}) AS n_unique FROM std WHERE NOT is_non_product"""
         for c in _PROFILE
     ),

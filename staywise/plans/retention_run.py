@@ -75,7 +75,7 @@ def read_sources(spark, cfg, inputs=None):
 
 def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None, validate_only=False, settings=None):
     """Everything from raw lines to the value-ranked worklist. ``settings`` tunes restarts, rounds and parallel fits."""
-    settings = {"restarts": 10, "final_restarts": 20, "rounds": models.ROUNDS, "parallel": 4, **(settings or {})}
+    settings = {"restarts": 10, "final_restarts": 20, "rounds": models.ROUNDS, "parallel": 8, **(settings or {})}
     out = RunFolder(spark, root, name or cfg.get("run") or "default")
     raw, customers_raw, returns_raw = read_sources(spark, cfg, inputs)
     customers_raw = customers if customers is not None else customers_raw
