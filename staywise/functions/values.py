@@ -64,6 +64,13 @@ def iso_date(column: Column, dtype=None) -> Column:
     return F.when(bare.rlike(_ISO), dashed.try_cast("date"))
 
 
+def looks_iso(column: Column, dtype=None) -> Column:
+    """Whether the text starts with a year; native dates always count as ISO."""
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return column.isNotNull()
+    return F.trim(column.cast("string")).rlike(r"^\d{4}")
+
+
 def spark_pattern(strptime_format: str) -> str:
     out, i = "", 0
     while i < len(strptime_format):

@@ -5,9 +5,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import exact_quantiles, global_quantiles
-from ..functions.values import iso_date, number, parse_date, unify_spelling
+from ..functions.values import looks_iso, number, parse_date, unify_spelling
 from ..schema import CUSTOMER_FIELDS, LINE_FIELDS
 from ..session import stage
+from .standardize import content_id
 
 # Removal reasons.
 BAD_DATE = "unparseable date"
@@ -32,10 +33,9 @@ def parse_dates(lines, cfg):
     """``date`` as a day, ``non_iso`` for dates only a fallback pattern could read, ``drop_reason`` for the rest."""
     dtype = lines.schema["date"].dataType
     day = parse_date(F.col("date"), dtype, cfg.get("date_format"), cfg.get("dayfirst", False))
-    iso = iso_date(F.col("date"), dtype)
     flagged = lines.select(
         *[(day if c == "date" else F.col(c)).alias(c) for c in lines.columns],
-        (iso.isNull() & day.isNotNull()).alias("non_iso"),
+        (day.isNotNull() & ~looks_iso(F.col("date"), dtype)).alias("non_iso"),
     )
     reason = F.when(F.col("date").isNull(), BAD_DATE).when(F.col("customer_id").isNull(), NO_CUSTOMER)
     return flagged.withColumn("drop_reason", reason)
@@ -51,18 +51,18 @@ def unify_lines(lines, columns):
 
 
 def collapse_duplicates(lines, subset):
-    """Rows equal in ``subset`` become one with a ``copies`` count, keeping the smallest line id.
+    """Rows equal in ``subset`` become one with a ``copies`` count.
 
     An aggregation, not a row_number window: copies are merged on the map side, so one row repeated in a third of the
-    table never meets in one task. NULLs are equal here, as in the rule this implements.
+    table never meets in one task. All buffers are fixed-width, so it is a hash aggregation. NULLs are equal here, as in
+    the rule this implements. A line id that is not part of ``subset`` is derived from the kept content.
     """
-    rest = [c for c in lines.columns if c not in subset and c not in ("drop_reason", "copies", "non_iso")]
-    copies = F.sum("copies") if "copies" in lines.columns else F.count(F.lit(1))
-    non_iso = F.sum(F.col("non_iso").cast("int")).alias("non_iso_rows")
     kept = lines.groupBy(*subset, "drop_reason").agg(
-        copies.alias("copies"), non_iso, F.min(F.struct(*rest)).alias("_kept")
+        F.count(F.lit(1)).alias("copies"),
+        F.sum(F.col("non_iso").cast("bigint")).alias("non_iso_rows"),
+        F.min("is_return").alias("is_return"),
     )
-    return kept.select(*subset, *[F.col(f"_kept.{c}").alias(c) for c in rest], "drop_reason", "copies", "non_iso_rows")
+    return kept if "transaction_id" in subset else kept.withColumn("transaction_id", content_id(kept.select(*subset)))
 
 
 def collapse_repeated_ids(lines):
@@ -213,13 +213,16 @@ def grade_lines(lines, cfg, available):
 
     Rows are never counted step by step: the reason is a column, so kept rows and the account come from one scan.
     """
+    collapse = cfg["cleaning"].get("drop_exact_duplicates", True)
+    subset = [c for c in LINE_FIELDS if c != "transaction_id" or available.get("transaction_id", True)]
+    if collapse:
+        lines = lines.select(*subset, "is_return")
     # read twice below (to learn the spellings and to grade), so the raw text is parsed and mapped only once
     graded = stage(parse_dates(lines, cfg), "parsed-lines")
     spelled = [c for c in ("category", "payment_method") if available.get(c)]
     if spelled:
         graded = unify_lines(graded, spelled)
-    if cfg["cleaning"].get("drop_exact_duplicates", True):
-        subset = [c for c in LINE_FIELDS if c != "transaction_id" or available.get("transaction_id", True)]
+    if collapse:
         graded = collapse_duplicates(graded, subset)
     else:
         graded = graded.withColumn("copies", F.lit(1).cast("bigint")).withColumn(
