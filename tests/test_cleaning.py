@@ -17,12 +17,8 @@ def _clean(spark, rows, cfg=CFG):
 
 
 def _changed(**values):
-    names = "copdkqux"
-    order = ["c", "o", "d", "p", "k", "q", "u", "x"]
-    row = dict(zip(order, ("z", "oz", "2020-02-01", "p1", "Toys", "2", "10", "0")))
-    row.update(values)
-    assert names
-    return tuple(row[n] for n in order)
+    row = {"c": "z", "o": "oz", "d": "2020-02-01", "p": "p1", "k": "Toys", "q": "2", "u": "10", "x": "0"}
+    return tuple({**row, **values}.values())
 
 
 @pytest.mark.parametrize(
