@@ -91,6 +91,7 @@ def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUND
         minInstancesPerNode=leaf,
         maxIter=rounds,
         seed=seed,
+        maxBins=64,
     )
     if row["_n"] > EARLY_STOP_ABOVE:
         classifier = classifier.setValidationIndicatorCol("held_out").setParams(validationTol=0.0)
