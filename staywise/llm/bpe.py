@@ -88,9 +88,11 @@ class Encoder:
 
     def __init__(self, path):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        self.library = None  # a rank file alone has no special tokens
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+            self.library = Tokenizer.from_file(path)
         self.word_encoder = _rank_encoder(path)
         self._forget()
 
@@ -121,43 +123,54 @@ class Encoder:
 
     def encode(self, texts):
         """(ids of all texts, their first id of each text and one more at the end). ``texts``: list of bytes or None."""
-        texts = [t or b"" for t in texts]
-        strings = [t.decode("utf-8", "replace") for t in texts]
-        whole = "".join(strings)
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        row_ends = np.cumsum(lengths)
-        classes = code_point_classes(codes)
-        odd = {k for k, t in enumerate(texts) if SPECIAL in t}
-        if (classes == UNKNOWN).any():
-            odd |= set(np.searchsorted(row_ends, np.flatnonzero(classes == UNKNOWN), "right").tolist())
-        starts = pretokens(codes, classes, row_ends)
-        ends = np.append(starts[1:], len(codes))
-        hashes = span_hashes(codes, starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        _, found = self._lookup(distinct)
+        return self.encode_cut(Cut(texts))
+
+    def encode_cut(self, cut):
+        """``encode`` for texts that are cut already, so that several vocabularies share the work."""
+        _, found = self._lookup(cut.distinct)
         new = np.flatnonzero(~found)
         if len(new) and len(self.known) + len(new) > CACHE_WORDS:
             self._forget()
-            new = np.arange(len(distinct))
+            new = np.arange(len(cut.distinct))
         if len(new):
-            self._learn(distinct[new], [whole[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-        entry = self.place[self._lookup(distinct)[0]][back] if len(distinct) else np.zeros(0, np.int64)
+            at = cut.first[new]
+            spans = zip(cut.starts[at].tolist(), cut.ends[at].tolist(), strict=True)
+            self._learn(cut.distinct[new], [cut.whole[s:e] for s, e in spans])
+        entry = self.place[self._lookup(cut.distinct)[0]][cut.back] if len(cut.distinct) else np.zeros(0, np.int64)
         sizes = self.length[entry]
         until = np.cumsum(sizes)
         total = int(until[-1]) if len(until) else 0
         ids = self.ids[np.repeat(self.begin[entry] - (until - sizes), sizes) + np.arange(total)]
-        word_first = np.append(np.searchsorted(starts, row_ends - lengths), len(starts))
-        bounds = np.append(0, until)[word_first]
-        if odd:
-            parts = [ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-            for k in odd:
-                parts[k] = np.asarray(self.library.encode(strings[k], add_special_tokens=False).ids, np.uint32)
+        bounds = np.append(0, until)[cut.word_first]
+        if cut.odd and self.library:
+            parts = [ids[bounds[k] : bounds[k + 1]] for k in range(len(cut.strings))]
+            for k in cut.odd:
+                parts[k] = np.asarray(self.library.encode(cut.strings[k], add_special_tokens=False).ids, np.uint32)
             ids = np.concatenate(parts)
             bounds = np.append(0, np.cumsum([len(p) for p in parts]))
         return ids, bounds
 
 
+class Cut:
+    """Texts cut into pre-tokens: code points, pre-token spans, the distinct pre-tokens and where each text begins."""
+
+    def __init__(self, texts):
+        self.strings = [(t or b"").decode("utf-8", "replace") for t in texts]
+        self.whole = "".join(self.strings)
+        self.codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lengths = np.fromiter(map(len, self.strings), np.int64, len(self.strings))
+        self.row_ends = np.cumsum(self.lengths)
+        self.classes = code_point_classes(self.codes)
+        self.odd = {k for k, t in enumerate(texts) if SPECIAL in (t or b"")}
+        unknown = np.flatnonzero(self.classes == UNKNOWN)
+        self.odd |= set(np.searchsorted(self.row_ends, unknown, "right").tolist())
+        self.starts = pretokens(self.codes, self.classes, self.row_ends)
+        self.ends = np.append(self.starts[1:], len(self.codes))
+        hashes = span_hashes(self.codes, self.starts, self.ends)
+        self.distinct, self.first, self.back = np.unique(hashes, return_index=True, return_inverse=True)
+        self.word_first = np.append(np.searchsorted(self.starts, self.row_ends - self.lengths), len(self.starts))
+
+
 def _rank_encoder(path):
     """Encoder of single words from the rank file beside the vocabulary, or the library itself where there is none."""
     ranks = os.path.splitext(path)[0] + ".tiktoken"
