@@ -1,7 +1,7 @@
 """The registered queries of this package."""
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import fertility, packing, token_counts
+from . import decontaminate, fertility, packing, token_counts
 from .tables import read
 
 
@@ -17,5 +17,9 @@ def op6_length_histogram(spark, folder):
     return token_counts.context_table(token_counts.length_histogram(read(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram)}
-ORACLES = {}
+def op10_prefix_filtered_decontamination(spark, folder):
+    return decontaminate.decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("key")
+
+
+QUERIES = {f.__name__: f for f in (op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op10_prefix_filtered_decontamination)}
+ORACLES = {"op10_prefix_filtered_decontamination": decontaminate.ORACLE}

@@ -18,7 +18,7 @@ from .bytescan import binary_values, slices
 from .tables import per_batch, stage
 
 CAPACITY = 2048
-BUCKET_ROWS = 50_000  # pieces numbered by one window group, about
+BUCKET_ROWS = 1_000  # pieces of one length numbered by one window group, about
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -111,9 +111,10 @@ def pack(pieces, capacity=CAPACITY):
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slot = "array<struct<rank:bigint,n:bigint,each:bigint,sequence:bigint,base:bigint>>"
-    plan = spark.createDataFrame(_slots(plan_bins(histogram, capacity)), f"length long, slots {slot}")
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
+    slots = [(n, 1 + histogram[n] // BUCKET_ROWS, of) for n, of in _slots(plan_bins(histogram, capacity))]
+    plan = F.broadcast(spark.createDataFrame(slots, f"length long, buckets long, slots {slot}"))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("buckets"))
+    rows = pieces.join(plan.drop("slots"), "length").withColumn("bucket", bucket)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         rows.groupBy("length", "bucket")
@@ -122,7 +123,7 @@ def pack(pieces, capacity=CAPACITY):
     )
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = rows.withColumn("place", F.row_number().over(inside) - 1).join(firsts, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("place")).join(F.broadcast(plan), "length")
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("place")).join(plan.drop("buckets"), "length")
     fits = F.filter("slots", lambda s: (s["rank"] <= F.col("rank")) & (F.col("rank") < s["rank"] + s["n"]))[0]
     within = F.col("rank") - F.col("slot.rank")
     return ranked.withColumn("slot", fits).select(
