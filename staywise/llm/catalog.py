@@ -1,7 +1,7 @@
 """The registered queries of this package."""
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import decontaminate, fertility, packing, token_counts
+from . import decontaminate, fertility, language_id, packing, token_counts, url_filter
 from .tables import read
 
 
@@ -21,5 +21,18 @@ def op10_prefix_filtered_decontamination(spark, folder):
     return decontaminate.decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op10_prefix_filtered_decontamination)}
-ORACLES = {"op10_prefix_filtered_decontamination": decontaminate.ORACLE}
+def op7_blocked_bloom_url_filter(spark, folder):
+    pages = read(spark, folder, "pages")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, url_filter.unwanted_urls(pages))
+
+
+def op9_script_viterbi(spark, folder):
+    return language_id.learn_and_identify(read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op9_script_viterbi, op10_prefix_filtered_decontamination)}
+ORACLES = {
+    "op7_blocked_bloom_url_filter": url_filter.ORACLE,
+    "op10_prefix_filtered_decontamination": decontaminate.ORACLE,
+}

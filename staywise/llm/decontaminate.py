@@ -14,12 +14,10 @@ repeated rows get the same result each. Ties in rarity go to the smaller word. O
 """
 from pyspark.sql import functions as F
 
-from .tables import same, stage, text_key
+from .tables import LOWER, UPPER, same, small, stage, text_key
 
 WINDOW = 10
 BLOCK_ANCHORS = 4_000
-BROADCAST_BYTES = 8 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -29,12 +27,6 @@ def words_of(column):
     return F.array_remove(parts, "")
 
 
-def small(df, text_columns):
-    """``df`` (a stored table) marked for broadcast if its text is within ``BROADCAST_BYTES``."""
-    size = sum((F.coalesce(F.sum(F.octet_length(c) + 64), F.lit(0)) for c in text_columns), F.lit(0))
-    return F.broadcast(df) if df.select(size.alias("n")).first()["n"] <= BROADCAST_BYTES else df
-
-
 def item_windows(benchmark, window=WINDOW):
     """(item_id, win, words): the windows of every item; ``win`` is the words joined by spaces."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .bpe import Cut, encoder, vocabulary_path
 from .bytescan import Block, binary_values, in_row_windows, mix, slices, span_hashes, window_hashes
 from .scripts import SCRIPTS, script_table
-from .tables import per_batch, stage
+from .tables import per_batch, small, stage
 
 VOCABULARIES = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
 #: Fixed bands: least and most code points per token, most fallback share, least entropy share. "other" holds for scripts not listed.
@@ -161,12 +161,13 @@ def with_verdicts(measures, width=WIDTH, least_group=LEAST_GROUP):
     centres = rows.groupBy(group).agg(
         F.count("*").alias("group_size"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_centre") for c in names]
     )
+    centres = small(stage(centres, "band-centres"), ["band_group"])
     spreads = (
         rows.join(centres, group)
         .groupBy(group)
         .agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_centre")), 0.5, 10_000).alias(f"{c}_spread") for c in names])
     )
-    judged = rows.join(centres, group).join(spreads, group)
+    judged = rows.join(centres, group).join(small(stage(spreads, "band-spreads"), ["band_group"]), group)
     inside = F.lit(True)
     for c in names:
         spread = F.greatest(1.4826 * F.col(f"{c}_spread"), LEAST_DEVIATION * F.abs(f"{c}_centre"))

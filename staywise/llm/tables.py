@@ -6,7 +6,9 @@ from pyspark.sql.types import StructType
 
 from ..session import stage
 
-__all__ = ["read", "stage", "per_batch", "text_key", "same"]
+__all__ = ["read", "stage", "per_batch", "text_key", "same", "small"]
+BROADCAST_BYTES = 8 << 20
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark, folder, table):
@@ -33,3 +35,9 @@ def text_key(column):
 def same(a, b):
     """Equality that also holds between nulls."""
     return a.eqNullSafe(b)
+
+
+def small(df, text_columns):
+    """``df`` (a stored table) marked for broadcast if its text is within ``BROADCAST_BYTES``."""
+    size = sum((F.coalesce(F.sum(F.octet_length(c) + 64), F.lit(0)) for c in text_columns), F.lit(0))
+    return F.broadcast(df) if df.select(size.alias("n")).first()["n"] <= BROADCAST_BYTES else df
