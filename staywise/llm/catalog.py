@@ -1,7 +1,7 @@
 """The registered queries of this package."""
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import decontaminate, fertility, language_id, packing, style_tree, token_counts, url_filter
+from . import decontaminate, fertility, language_id, packing, parity_join, style_tree, token_counts, url_filter
 from .tables import read
 
 
@@ -31,11 +31,15 @@ def op7_blocked_bloom_url_filter(spark, folder):
     return url_filter.judge(pages, rules, url_filter.unwanted_urls(pages))
 
 
+def op8_parity_sketch_join(spark, folder):
+    return parity_join.jaccard_components(read(spark, folder, "documents"), width=3, num=90, den=100)
+
+
 def op9_script_viterbi(spark, folder):
     return language_id.learn_and_identify(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_site_style_tree, op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op9_script_viterbi, op10_prefix_filtered_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_site_style_tree, op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op8_parity_sketch_join, op9_script_viterbi, op10_prefix_filtered_decontamination)}
 ORACLES = {
     "op7_blocked_bloom_url_filter": url_filter.ORACLE,
     "op10_prefix_filtered_decontamination": decontaminate.ORACLE,
