@@ -1,7 +1,7 @@
 """The registered queries of this package."""
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import decontaminate, fertility, language_id, packing, parity_join, style_tree, suffix_dedup, token_counts, url_filter
+from . import decontaminate, fertility, language_id, packing, parity_join, style_tree, suffix_dedup, suffix_tree_lm, token_counts, url_filter
 from .tables import read
 
 
@@ -13,6 +13,10 @@ def op2_site_style_tree(spark, folder):
     return style_tree.main_text(read(spark, folder, "pages"))
 
 
+def op3_probabilistic_suffix_tree(spark, folder):
+    return suffix_tree_lm.learn_and_score(read(spark, folder, "documents"))
+
+
 def op4_tokeniser_fertility(spark, folder):
     return fertility.verdicts(read(spark, folder, "documents"))
 
@@ -43,7 +47,7 @@ def op9_script_viterbi(spark, folder):
     return language_id.learn_and_identify(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_site_style_tree, op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op8_parity_sketch_join, op9_script_viterbi, op10_prefix_filtered_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_site_style_tree, op3_probabilistic_suffix_tree, op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op8_parity_sketch_join, op9_script_viterbi, op10_prefix_filtered_decontamination)}
 ORACLES = {
     "op7_blocked_bloom_url_filter": url_filter.ORACLE,
     "op10_prefix_filtered_decontamination": decontaminate.ORACLE,
