@@ -11,17 +11,19 @@ letter, or when nothing could be learned. Repeated rows get a row each; ties go
 columns are dropped.
 """
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bytescan import SEPARATORS, Block, binary_values, slices
 from .scripts import SCRIPTS, script_table
-from .tables import per_batch, small, stage
+from .tables import arrays, per_batch, small, stage
 
 SAMPLE_ROWS = 4_000
 SWITCH_COST = 20.0
 TABLE_BITS = 16
 LEAST_SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
+LEAST_SCORE = 0.5
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first_word:long,n_words:long,lang:string>>"
 
 
@@ -78,15 +80,15 @@ def learn(labelled, sample_rows=SAMPLE_ROWS):
                 }
 
     counted = per_batch(sample.select("text", "lang"), count, "lang string, place long, n long")
-    table = counted.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
+    lang, place, n = arrays(counted.groupBy("lang", "place").agg(F.sum("n").alias("n")))  # at most 2^TABLE_BITS rows a language
+    langs = sorted(set(lang.tolist()))
     grams = np.zeros((len(langs), 1 << TABLE_BITS))
     scripts = np.zeros((len(langs), len(SCRIPTS)))
-    for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
-        place, n = own["place"].to_numpy(), own["n"].to_numpy()
-        grams[k, place[place >= 0]] = n[place >= 0]
-        scripts[k, -place[place < 0]] = n[place < 0]
+    for k, name in enumerate(langs):
+        own = lang == name
+        gram = own & (place >= 0)
+        grams[k, place[gram]] = n[gram]
+        scripts[k, -place[own & ~gram]] = n[own & ~gram]
     logs = np.log(grams + SMOOTHING) - np.log(grams.sum(1, keepdims=True) + SMOOTHING * (1 << TABLE_BITS))
     share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
     masks = ((share >= LEAST_SCRIPT_SHARE) << np.arange(len(SCRIPTS))).sum(1)
@@ -169,6 +171,21 @@ def label_words(block, model, cost=SWITCH_COST):
     return labels, letters, first
 
 
+def text_languages(block, model, cost=SWITCH_COST):
+    """(number of the language, the one after the last for none; share of the letters; labels and first words as ``label_words``)."""
+    n = len(model["langs"])
+    if not n:
+        _, _, first = block.words()
+        first = np.zeros_like(first)
+        return np.zeros(block.rows, np.int64), np.zeros(block.rows), np.zeros(0, np.int16), first
+    labels, letters, first = label_words(block, model, cost)
+    rows = np.repeat(np.arange(block.rows), np.diff(first))
+    weight = np.bincount(rows * n + labels, weights=letters, minlength=block.rows * n).reshape(-1, n)
+    total = weight.sum(1)
+    share = np.where(total > 0, weight.max(1) / np.maximum(total, 1), 0.0)
+    return np.where(total > 0, weight.argmax(1), n), share, labels, first
+
+
 def identify(docs, model, cost=SWITCH_COST):
     """(doc_id, lang_pred, score, spans) for every row of ``docs`` (doc_id, text)."""
     langs = np.array([*model["langs"], "und"], object)
@@ -177,16 +194,8 @@ def identify(docs, model, cost=SWITCH_COST):
         keys, values = np.array(batch.column(0).to_pylist(), object), binary_values(batch.column(1))
         for a, b in slices(values):
             block = Block(values[a:b], lower=True)
-            if len(langs) == 1:
-                yield {"doc_id": keys[a:b], "lang_pred": langs[[-1] * (b - a)], "score": np.zeros(b - a), "spans": [[]] * (b - a)}
-                continue
-            labels, letters, first = label_words(block, model, cost)
-            n, counts = len(langs) - 1, np.diff(first)
-            rows = np.repeat(np.arange(b - a), counts)
-            weight = np.bincount(rows * n + labels, weights=letters, minlength=(b - a) * n).reshape(-1, n)
-            total, top = weight.sum(1), weight.argmax(1)
-            top = np.where(total > 0, top, n)
-            share = np.where(total > 0, weight.max(1) / np.maximum(total, 1), 0.0)
+            top, share, labels, first = text_languages(block, model, cost)
+            rows = np.repeat(np.arange(b - a), np.diff(first))
             edge = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
             width = np.diff(np.append(edge, len(rows)))
             spans = [[] for _ in range(b - a)]
@@ -202,3 +211,18 @@ def learn_and_identify(docs, folds=5):
     model = learn(docs.where(~in_fold(F.col("doc_id"), folds)))
     found = identify(docs, model)
     return found.select("doc_id", in_fold(F.col("doc_id"), folds).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def keep_identified(docs, model, least_score=LEAST_SCORE):
+    """The rows of ``docs``, all columns as they are, whose language is known with at least ``least_score``."""
+    text = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            values, kept = binary_values(batch.column(text)), []
+            for a, b in slices(values):
+                _, share = text_languages(Block(values[a:b], lower=True), model)[:2]
+                kept.append(share)
+            yield batch.filter(pa.array(np.concatenate(kept) >= least_score)) if kept else batch
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -1,22 +1,34 @@
-"""The pipeline's stages: ``(spark, docs, sf_dir) -> DataFrame``."""
-from . import packing
+"""The pipeline's stages: ``(spark, docs, sf_dir) -> DataFrame``. All but the last return the columns of ``docs``."""
+from pyspark.sql import functions as F
+
+from . import decontaminate, language_id, packing, parity_join, suffix_dedup
+from .tables import read, same, small, stage, text_key
 
 
 def keep_identified(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Drops documents without a recognised language: no letters, or no language with half of the letters."""
+    return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def keep_one_per_group(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Keeps the document of smallest id of every group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    groups = parity_join.jaccard_components(docs, width=5, num=8, den=10)
+    first = groups.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(first, same(docs["doc_id"], first["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def remove_repeated_bytes(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Cuts every passage of 100 bytes or more that also starts earlier in the corpus out of the texts."""
+    return suffix_dedup.cut_texts(docs)
 
 
-def remove_benchmark_passages(spark, docs, sf_dir):
-    raise NotImplementedError
+def drop_contaminated(spark, docs, sf_dir):
+    """Drops documents in which a window of a benchmark item occurs."""
+    found = decontaminate.decontamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = small(stage(found.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")), "contaminated"), ["bad_key"])
+    return docs.join(bad, same(docs["doc_id"], bad["bad_id"]) & (text_key(docs["text"]) == bad["bad_key"]), "left_anti")
 
 
 def pack_sequences(spark, docs, sf_dir):
+    """Packs all documents into sequences of 2048 tokens."""
     return packing.pack_documents(docs)

@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 
 from ..session import stage
 
-__all__ = ["read", "stage", "per_batch", "text_key", "same", "small"]
+__all__ = ["arrays", "read", "stage", "per_batch", "text_key", "same", "small"]
 BROADCAST_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,3 +41,9 @@ def small(df, text_columns):
     """``df`` (a stored table) marked for broadcast if its text is within ``BROADCAST_BYTES``."""
     size = sum((F.coalesce(F.sum(F.octet_length(c) + 64), F.lit(0)) for c in text_columns), F.lit(0))
     return F.broadcast(df) if df.select(size.alias("n")).first()["n"] <= BROADCAST_BYTES else df
+
+
+def arrays(df):
+    """The columns of a result of bounded size as numpy arrays."""
+    table = df.toArrow()
+    return [table.column(name).to_numpy() for name in df.columns]
