@@ -8,7 +8,7 @@ STAGES = [
     ("language_id", stages.keep_identified),
     ("ngram_jaccard_join", stages.keep_one_per_group),
     ("suffix_array_dedup", stages.remove_repeated_bytes),
-    ("benchmark_decontamination", stages.remove_benchmark_passages),
+    ("benchmark_decontamination", stages.drop_contaminated),
     ("best_fit_packing", stages.pack_sequences),
 ]
 ORACLE_SQL = None  # language model, shingle components and packing are not SQL; tests compare with a brute-force version
