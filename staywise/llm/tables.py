@@ -39,7 +39,8 @@ def same(a, b):
 
 def small(df, text_columns):
     """``df`` (a stored table) marked for broadcast if its text is within ``BROADCAST_BYTES``."""
-    size = sum((F.coalesce(F.sum(F.octet_length(c) + 64), F.lit(0)) for c in text_columns), F.lit(0))
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text_columns]
+    size = sum(texts, F.count("*") * 64)
     return F.broadcast(df) if df.select(size.alias("n")).first()["n"] <= BROADCAST_BYTES else df
 
 
