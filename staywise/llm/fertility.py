@@ -4,8 +4,8 @@ Per text: code points per token under the vocabulary that suits it best, the sha
 fallback), and the entropy of its tokens. Upper-case noise and random strings lower the characters per token, filler and
 attached symbols lower the entropy. A text is rejected outside its group's band: centre (median) plus or minus ``WIDTH`` robust
 deviations, where the groups are language (script where the language is null) and length octave, measured over all documents.
-The centre of a group of fewer than ``LEAST_GROUP`` texts says nothing, so fixed bands by script hold there; the fallback share is
-held against the fixed bands everywhere.
+The centre of a group of fewer than ``LEAST_GROUP`` texts says nothing; there the characters per token are held against the language's own
+band and everything against fixed bands by script. The fallback share is held against the fixed bands everywhere.
 
 Base measures come from words (runs without ASCII white space) and ``\\n``-split lines. Null and empty texts have zero measures
 and fail. Repeated rows each get a row; no rows give none; other columns are dropped.
@@ -30,9 +30,10 @@ BANDS = {
     "none": (0.8, 8.0, 0.15, 0.45),
     "other": (0.3, 8.0, 0.90, 0.40),
 }
-WIDTH = 4.5
+WIDTH = 4.0
 LEAST_GROUP = 30
-LEAST_DEVIATION = 0.01  # of the median
+ENTROPY_SLOPE = 0.3  # bits of token entropy that a text gains when it doubles, about
+LEAST_DEVIATION = 0.02
 MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW = 30, 20, 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -151,28 +152,32 @@ def measure(docs, vocabularies=None, bands=BANDS):
     return per_batch(docs.select("doc_id", "lang", "text"), judge, SCHEMA)
 
 
-def with_verdicts(measures, width=WIDTH, least_group=LEAST_GROUP):
-    """``measures`` with the bands of their groups and ``kept``. Reads ``measures`` three times: pass a stored table."""
-    group = ["band_group", "octave"]
-    rows = measures.withColumn("band_group", F.coalesce("lang", F.concat(F.lit("script "), "script"))).withColumn(
-        "octave", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
-    )
-    names = ("chars_per_token", "token_entropy")
+def _with_band(rows, group, names, width):
+    """``rows`` with ``group_size`` and whether all measures of ``names`` lie ``inside`` the band of their ``group``."""
     centres = rows.groupBy(group).agg(
         F.count("*").alias("group_size"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_centre") for c in names]
     )
     centres = small(stage(centres, "band-centres"), ["band_group"])
-    spreads = (
-        rows.join(centres, group)
-        .groupBy(group)
-        .agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_centre")), 0.5, 10_000).alias(f"{c}_spread") for c in names])
-    )
-    judged = rows.join(centres, group).join(small(stage(spreads, "band-spreads"), ["band_group"]), group)
+    distances = [F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_centre")), 0.5, 10_000).alias(f"{c}_spread") for c in names]
+    spreads = small(stage(rows.join(centres, group).groupBy(group).agg(*distances), "band-spreads"), ["band_group"])
     inside = F.lit(True)
     for c in names:
-        spread = F.greatest(1.4826 * F.col(f"{c}_spread"), LEAST_DEVIATION * F.abs(f"{c}_centre"))
+        spread = F.greatest(1.4826 * F.col(f"{c}_spread"), F.lit(LEAST_DEVIATION))
         inside = inside & (F.abs(F.col(c) - F.col(f"{c}_centre")) <= width * spread)
-    in_band = F.when(F.col("group_size") >= least_group, inside).otherwise(F.col("within_fixed"))
+    judged = rows.join(centres, group).join(spreads, group).withColumn("inside", inside)
+    return judged.drop(*[f"{c}_{kind}" for c in names for kind in ("centre", "spread")])
+
+
+def with_verdicts(measures, width=WIDTH, least_group=LEAST_GROUP):
+    """``measures`` with the bands of their groups and ``kept``. Reads ``measures`` three times: pass a stored table."""
+    level = F.col("token_entropy") - ENTROPY_SLOPE * F.log2(F.greatest("n_words", F.lit(1)))
+    rows = measures.withColumn("entropy_level", level).withColumn("band_group", F.coalesce("lang", F.concat(F.lit("script "), "script"))).withColumn(
+        "octave", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
+    )
+    judged = _with_band(rows, ["band_group", "octave"], ("chars_per_token", "entropy_level"), width)
+    judged = _with_band(judged.withColumnsRenamed({"inside": "fine", "group_size": "fine_size"}), ["band_group"], ("chars_per_token",), width)
+    coarse = F.col("within_fixed") & (F.col("inside") | (F.col("group_size") < least_group))
+    in_band = F.when(F.col("fine_size") >= least_group, F.col("fine")).otherwise(coarse)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("fallback_ok") & in_band)
 
 
