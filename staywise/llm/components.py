@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .tables import stage
 
+ROWS_PER_FILE = 200_000
+
 
 def _step(edges, large):
     """One star step over edges (u, v), u > v, without repeats."""
@@ -32,8 +34,9 @@ def components(links):
     edges = stage(edges, "links")
     before = None
     while (now := _digest(edges)) != before:
-        before = now
-        edges = stage(_step(stage(_step(edges, large=True), "large-star"), large=False), "small-star")
+        before, files = now, 1 + now[0] // ROWS_PER_FILE
+        edges = stage(_step(edges, large=True).coalesce(files), "large-star")
+        edges = stage(_step(edges, large=False).coalesce(files), "small-star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -3,8 +3,9 @@
 A set's sketch has p cells; every shingle's hash is XORed into one cell. Two cells can differ only if the symmetric difference has a shingle there, so
 the number of differing cells never exceeds the symmetric difference, which the threshold bounds by the sets' sizes. Within a
 size band all sketches have the same p, larger than that bound d, so at least p - d cells of a linked pair are equal (pigeonhole).
-Cells are ordered by how often their value occurs, and each set joins by its d + 1 rarest cells only: the rarest equal cell of
-a pair is among these on both sides. Frequencies come from a count table of fixed size, which is an order like any other.
+Cells are ordered, values of one set only before all others, and each set joins by its d + 1 first cells only: the first equal cell of
+a pair is among these on both sides. Cells of one set need no join, so a set with more than d of them joins nowhere. A filter of fixed
+size tells them apart; its errors only move cells to the back of the order, which is a total order of the values like any other.
 
 Equal sets are merged first. Sets that meet in a cell are compared with the smallest and largest set of that cell and linked ones are
 united; only sets that still lie in different components and meet in a cell are then compared with each other. So a large group
@@ -20,10 +21,10 @@ from pyspark.sql.window import Window
 
 from .bytescan import Block, binary_values, in_row_windows, mix, slices, span_hashes, window_hashes
 from .components import components
+from .repeat_filter import may_repeat, repeat_filter
 from .tables import per_batch, small, stage
 
 BAND_GROWTH = 1.25
-COUNT_BITS = 20
 SPARE_CELLS = 1.5
 
 
@@ -112,40 +113,32 @@ def sketches(docs, width, scheme):
 
 
 def cell_counts(sets):
-    """How often the cell values occur, in a table of 2^COUNT_BITS places."""
+    """(key, n): cell values of all sketches, summed within batches only."""
 
     def count(batch):
-        total = np.zeros(1 << COUNT_BITS, np.int64)
-        for cells in batch.column(0).to_pylist():
-            keys = np.frombuffer(cells, np.uint64) >> np.uint64(64 - COUNT_BITS)
-            np.add.at(total, keys.astype(np.int64), 1)
-        place = np.flatnonzero(total)
-        yield {"place": place, "n": total[place]}
+        keys, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+        yield {"key": keys.view(np.int64), "n": n}
 
-    counted = per_batch(sets.select("cells"), count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << COUNT_BITS, np.int64)
-    table[counted["place"].to_numpy()] = counted["n"].to_numpy()
-    return table
+    return per_batch(sets.select("cells"), count, "key long, n long")
 
 
-def prefixes(sets, counts, scheme):
-    """(key, e, n): the rarest cells by which each set joins."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)  # fixed size
+def prefixes(sets, repeats, scheme):
+    """(key, e, n): the cells by which each set joins. Cells that no other set has come first in the order and need no join."""
+    shared = sets.sparkSession.sparkContext.broadcast(repeats)  # fixed size
 
     def choose(batch):
-        keys, owners, sizes = [], [], []
+        keys, owners, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for e, n, cells in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             own, at = np.frombuffer(cells, np.uint64), 0
+            met = may_repeat(shared.value, own)
             for _, p, prefix in scheme.plan(n):
-                part = own[at : at + p]
+                part = np.sort(own[at : at + p][met[at : at + p]])
+                chosen = part[: max(0, prefix - (p - len(part)))]
                 at += p
-                rank = shared.value[(part >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                chosen = np.lexsort((part, rank))[:prefix]
-                keys.append(part[chosen])
+                keys.append(chosen)
                 owners.append(np.full(len(chosen), e, np.int64))
                 sizes.append(np.full(len(chosen), n, np.int64))
-        if keys:
-            yield {"key": np.concatenate(keys).view(np.int64), "e": np.concatenate(owners), "n": np.concatenate(sizes)}
+        yield {"key": np.concatenate(keys).view(np.int64), "e": np.concatenate(owners), "n": np.concatenate(sizes)}
 
     return per_batch(sets.select("e", "n", "cells"), choose, "key long, e long, n long")
 
@@ -197,7 +190,7 @@ def jaccard_components(docs, width=3, num=90, den=100):
         F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("cells").alias("cells")
     )
     sets = stage(sets, "sets")
-    keyed = prefixes(sets, cell_counts(sets), scheme)
+    keyed = prefixes(sets, repeat_filter(cell_counts(sets)), scheme)
     of_key = Window.partitionBy("key")
     met = keyed.select(
         *("key", "e", "n"),
