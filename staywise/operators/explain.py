@@ -39,7 +39,6 @@ TEXTS = {
     "avg_units_per_order": ("%.1f units per order", 1),
     "return_rate": ("%.0f%% of spend returned", 100),
 }
-BACKGROUND_ROWS = 100
 TOP_FACTORS = 3
 
 
@@ -67,9 +66,7 @@ def linear_contributions(model, df, features, background):
     term = lambda f: sum(
         (F.col(c) * F.lit(weights[c]) for c in (f"z_{f}", f"missing_{f}") if c in weights), F.lit(0.0)
     )
-    order = F.xxhash64("customer_id")
-    fixed = background.orderBy(order, "customer_id").limit(BACKGROUND_ROWS)  # the method compares with a fixed background
-    means = model.stages[0].transform(fixed).agg(*[F.avg(term(f)).alias(f) for f in features]).first()
+    means = model.stages[0].transform(background).agg(*[F.avg(term(f)).alias(f) for f in features]).first()
     base = regression.intercept + sum(means[f] for f in features)
     placed = model.stages[0].transform(df)
     columns = [(term(f) - F.lit(means[f])).alias(f"c_{f}") for f in features]

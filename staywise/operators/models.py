@@ -26,7 +26,6 @@ SELECTION_METRICS = ("pr_auc", "roc_auc")
 INVERSE_PENALTY = 0.3
 GRID = [(rate, depth, leaf) for rate in (0.03, 0.06) for depth in (3, 5) for leaf in (40, 120)]
 ROUNDS = 250
-EARLY_STOP_ABOVE = 10_000
 TARGET = "churned"
 
 
@@ -75,10 +74,10 @@ def logistic_pipeline(train, features, inverse_penalty=INVERSE_PENALTY, target=T
     )
 
 
-def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUNDS, seed=42, target=TARGET):
+def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUNDS, seed=42, target=TARGET, early_stopping=True):
     """Gradient-boosted trees. Missing values sit below every real value, so one split separates them.
 
-    Above ten thousand rows a tenth of train (chosen by hash) stops the boosting when it no longer helps.
+    With ``early_stopping`` a tenth of train (chosen by hash) stops the boosting when it no longer helps, whatever the size.
     """
     row = train.agg(F.count(F.lit(1)).alias("_n"), *[F.min(f).alias(f) for f in features]).first()
     low = {f: (row[f] if row[f] is not None else 0.0) - 1.0 for f in features}
@@ -93,7 +92,7 @@ def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUND
         seed=seed,
         maxBins=64,
     )
-    if row["_n"] > EARLY_STOP_ABOVE:
+    if early_stopping:
         classifier = classifier.setValidationIndicatorCol("held_out").setParams(validationTol=0.0)
     held_out = "pmod(xxhash64(customer_id, cutoff), 10) = 0 as held_out" if "cutoff" in train.columns else "false as held_out"
     return Pipeline(

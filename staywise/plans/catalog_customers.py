@@ -443,7 +443,7 @@ register(
         for c in reports.COMPARED
     ),
 )
-_CORR = [c for c in feats.FEATURES if c not in ("days_since_registration", "purchase_frequency_30d")]
+_CORR = [c for c in feats.FEATURES if c != "days_since_registration"]  # the bound tables have no registration date
 register(
     "d9_correlation",
     "a:s b:s r:5",

@@ -17,13 +17,11 @@ _END = features("SELECT b AS cutoff FROM span")
 
 
 def _evaluated_k(ws):
-    data = ws.cluster_vectors
-    rows = cluster.evaluate_k(data, data.count(), restarts=1)
-    return ws.spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return ws.spark.createDataFrame(ws.evaluated_k, "k int, inertia double, silhouette double")
 
 
 def _assigned(ws):
-    return cluster.fit_kmeans(ws.cluster_vectors, 3, restarts=3).transform(ws.cluster_vectors)
+    return cluster.fit_kmeans(ws.cluster_vectors, ws.chosen_k).transform(ws.cluster_vectors)
 
 
 register("k3_evaluate_k", "k:i inertia:4 silhouette:6", _evaluated_k)
@@ -43,7 +41,7 @@ register(
 
 
 def _stability(ws):
-    value = cluster.stability(ws.cluster_vectors, 3, seeds=(1, 2, 3), restarts=1)
+    value = cluster.stability(ws.cluster_vectors, ws.chosen_k)
     return ws.cluster_vectors.agg(F.count(F.lit(1)).alias("customers")).withColumn("mean_ari", F.lit(value))
 
 

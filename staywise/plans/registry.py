@@ -2,17 +2,13 @@
 
 A specification lists output columns as ``name:kind`` with kind ``s`` text, ``i`` whole number, ``b`` boolean (as 0/1),
 ``d`` date (as ISO text) or a digit, the decimals kept of a double. Sums of doubles depend on the order of addition, so
-doubles are compared after rounding. Averages of amounts in cents often lie exactly between two rounded values; a fixed
-offset, the same on both sides, moves them off that edge.
+doubles are published rounded half up. Averages of cents often lie exactly between two rounded values, where the noise of addition
+would decide, so the double first becomes a decimal with ``GUARD_DIGITS`` more digits.
 """
 from pyspark.sql import functions as F
 
 QUERIES, ORACLES = {}, {}
-EDGE_OFFSET = 0.2371
-
-
-def _offset(digits):
-    return f"{EDGE_OFFSET * 10 ** -int(digits):.10f}"
+GUARD_DIGITS = 4
 
 
 def _spark_column(name, kind):
@@ -25,7 +21,8 @@ def _spark_column(name, kind):
         return F.date_format(c, "yyyy-MM-dd").alias(name)
     if kind == "s":
         return c.cast("string").alias(name)
-    return (F.round(c.cast("double") + F.lit(float(_offset(kind))), int(kind)) + F.lit(0.0)).alias(name)
+    exact = F.round(c.cast("double").try_cast(f"decimal(38,{int(kind) + GUARD_DIGITS})"), int(kind))
+    return (exact.cast("double") + F.lit(0.0)).alias(name)
 
 
 def _sql_column(name, kind):
@@ -36,7 +33,8 @@ def _sql_column(name, kind):
         return f"strftime({quoted}, '%Y-%m-%d') AS {quoted}"
     if kind == "s":
         return f"CAST({quoted} AS VARCHAR) AS {quoted}"
-    return f"round(CAST({quoted} AS DOUBLE) + CAST({_offset(kind)} AS DOUBLE), {kind}) + 0.0 AS {quoted}"
+    exact = f"round(TRY_CAST(CAST({quoted} AS DOUBLE) AS DECIMAL(38, {int(kind) + GUARD_DIGITS})), {kind})"
+    return f"CAST({exact} AS DOUBLE) + 0.0 AS {quoted}"
 
 
 def _parse(spec):

@@ -14,9 +14,6 @@ from ..sources import star
 
 _spaces = {}
 
-# Early stopping ends the boosting long before this on the bound tables; it bounds the smallest ones, which train without.
-BOOSTING_ROUNDS = 40
-
 
 def workspace(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
@@ -154,7 +151,7 @@ class Workspace:
 
     @cached_property
     def selection(self):
-        return models.select_model(self.split("train"), self.split("validation"), self.used_features, rounds=BOOSTING_ROUNDS)
+        return models.select_model(self.split("train"), self.split("validation"), self.used_features)
 
     @cached_property
     def test_scores(self):
@@ -187,6 +184,14 @@ class Workspace:
         usable, _ = cluster.usable_features(self.at_end)
         return stage(cluster.vectors(cluster.prepared_columns(self.at_end, usable), usable), "cluster-vectors")
 
+    @cached_property
+    def evaluated_k(self):
+        return cluster.evaluate_k(self.cluster_vectors, self.cluster_vectors.count())
+
+    @cached_property
+    def chosen_k(self):
+        return cluster.choose_k(self.evaluated_k)
+
     # --- dirty binding -------------------------------------------------------------------------------------------
 
     @cached_property

@@ -1,7 +1,13 @@
-"""Reading raw order data: CSV, TSV (plain or gzip) and parquet, many files stacked by column name."""
+"""Reading raw order data: CSV, TSV (plain or gzip) and parquet, files, folders and globs stacked by column name.
+
+Paths are expanded by Spark's own listing. Delimited files are grouped by their header line, found for all files in one job, and each
+group is one scan that refuses a file with another header; parquet is read with merged schemas. Columns missing in some
+files are NULL there.
+"""
 from functools import reduce
-from urllib.parse import urlparse
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
@@ -13,43 +19,65 @@ MISSING_TEXTS = [
 ]
 
 
+# Read options of the configuration and the reader's options they set.
+OPTIONS = {"sep": "sep", "encoding": "encoding", "quote": "quote", "escape": "escape", "comment": "comment", "multi_line": "multiLine"}
+CONTROL = {"format", "same_header"}
+
+
 def read_table(spark, paths, read_options=None):
-    """All files as one table. Delimited text stays text: coercion is explicit and counted later."""
+    """All files as one table. Delimited text stays text: coercion is explicit and counted later.
+
+    ``read_options``: those of ``OPTIONS``, ``format`` (csv, tsv or parquet; else by file name) and ``same_header`` (trust that all files
+    of a kind have the first one's header, saving a job; a file that differs stops the read).
+    """
     paths = [paths] if isinstance(paths, str) else list(paths or [])
     if not paths:
         raise DatasetError("No input files configured: source.transactions is empty.")
-    for path in paths:
-        _require(spark, path)
     options = dict(read_options or {})
-    frames = [spark.read.parquet(*group) for group in [[p for p in paths if p.endswith(".parquet")]] if group]
-    # files with the same header are one scan; only differing headers need a union
-    by_header = {}
-    for path in (p for p in paths if not p.endswith(".parquet")):
-        one = _delimited(spark, [path], options)
-        by_header.setdefault((tuple(one.columns), _separator(path, options)), []).append(path)
-    frames += [_delimited(spark, group, options) for group in by_header.values()]
+    unknown = sorted(set(options) - set(OPTIONS) - CONTROL)
+    if unknown:
+        raise DatasetError(f"Unsupported read options: {', '.join(unknown)}. Supported: {', '.join(sorted({*OPTIONS, *CONTROL}))}.")
+    by_kind = {}
+    for path in _files(spark, paths):
+        by_kind.setdefault(options.get("format") or _kind(path), []).append(path)
+    frames = []
+    if files := by_kind.pop("parquet", None):
+        # whole paths keep the columns that folder names carry
+        frames.append(spark.read.option("mergeSchema", True).parquet(*(files if by_kind else paths)))
+    for kind, files in sorted(by_kind.items()):
+        groups = [files] if options.get("same_header") else _by_header(spark, files)
+        frames += [_delimited(spark, group, kind, options) for group in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _separator(path, options):
-    bare = path[:-3] if path.endswith(".gz") else path
-    return options.get("sep", "\t" if bare.lower().endswith(".tsv") else ",")
+def _files(spark, paths):
+    """Every file below ``paths``, from the listing alone."""
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path").collect()
+    except AnalysisException as error:
+        raise DatasetError(f"Input file not found: {', '.join(paths)}. Check source.transactions in the configuration.") from error
+    if not listed:
+        raise DatasetError(f"Input file not found: {', '.join(paths)} holds no file. Check source.transactions in the configuration.")
+    return sorted(r["path"] for r in listed)
 
 
-def _delimited(spark, paths, options):
-    reader = spark.read.option("header", True).option("sep", _separator(paths[0], options)).option("escape", '"')
-    if "encoding" in options:
-        reader = reader.option("encoding", options["encoding"])
-    table = reader.csv(paths)
-    present = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TEXTS), F.col(f"`{c}`"))
-    return table.select(*[present(c).alias(c) for c in table.columns])
+def _kind(path):
+    bare = path.lower().removesuffix(".gz")
+    return "parquet" if bare.endswith(".parquet") else "tsv" if bare.endswith(".tsv") else "csv"
+
+
+def _by_header(spark, files):
+    """``files`` grouped by their first line."""
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    headers = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("header")).collect()
+    groups = {}
+    for row in sorted(headers):
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
 
 
-def _require(spark, path):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    matches = files.globStatus(where)
-    if not matches:
-        scheme = urlparse(path).scheme or "file"
-        raise DatasetError(f"Input file not found: {path} ({scheme}). Check source.transactions in the configuration.")
+def _delimited(spark, files, kind, options):
+    settings = {"sep": "\t" if kind == "tsv" else ",", "escape": '"', **{OPTIONS[k]: v for k, v in options.items() if k in OPTIONS}}
+    table = spark.read.options(header=True, enforceSchema=False, **settings).csv(files)
+    present = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TEXTS), F.col(f"`{c}`"))
+    return table.select(*[present(c).alias(c) for c in table.columns])

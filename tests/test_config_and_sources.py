@@ -51,3 +51,41 @@ def test_missing_files_are_a_readable_error(spark, tmp_path):
         read_table(spark, [str(tmp_path / "nowhere.csv")])
     with pytest.raises(DatasetError, match="No input files"):
         read_table(spark, [])
+
+
+def _written(folder, name, text):
+    path = f"{folder}/{name}"
+    with open(path, "w") as file:
+        file.write(text)
+    return path
+
+
+def test_columns_keep_their_names_across_files_of_a_glob(spark, folder):
+    where = folder()
+    _written(where, "a.csv", "cust,qty\n1,5\n")
+    _written(where, "b.csv", "qty,cust\n7,2\n")
+    _written(where, "c.csv", "cust,note\n3,\"two\nlines\"\n")
+    table = read_table(spark, f"{where}/*.csv", {"multi_line": True})
+    assert {tuple(r[c] for c in ("cust", "qty", "note")) for r in table.collect()} == {("1", "5", None), ("2", "7", None), ("3", None, "two\nlines")}
+
+
+def test_parquet_folders_and_mixed_schemas(spark, folder):
+    where = folder()
+    spark.range(3).selectExpr("id AS cust").write.parquet(f"{where}/table/day=1")
+    spark.range(2).selectExpr("id AS cust", "id * 2 AS qty").write.parquet(f"{where}/table/day=2")
+    table = read_table(spark, f"{where}/table")
+    assert table.count() == 5 and set(table.columns) == {"cust", "qty", "day"} and table.where("qty IS NULL").count() == 3
+
+
+def test_unknown_read_options_are_refused(spark, folder):
+    path = _written(folder(), "a.csv", "cust\n1\n")
+    with pytest.raises(DatasetError, match="skiprows"):
+        read_table(spark, path, {"skiprows": 2})
+
+
+def test_other_header_stops_a_trusting_read(spark, folder):
+    where = folder()
+    _written(where, "a.csv", "cust,qty\n1,5\n")
+    _written(where, "b.csv", "qty,cust\n7,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, where, {"same_header": True}).collect()
