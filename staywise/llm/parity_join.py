@@ -7,9 +7,10 @@ Cells are ordered, values of one set only before all others, and each set joins
 a pair is among these on both sides. Cells of one set need no join, so a set with more than d of them joins nowhere. A filter of fixed
 size tells them apart; its errors only move cells to the back of the order, which is a total order of the values like any other.
 
-Equal sets are merged first. Sets that meet in a cell are compared with the smallest and largest set of that cell and linked ones are
-united; only sets that still lie in different components and meet in a cell are then compared with each other. So a large group
-costs its size, not its square, and no link between components is lost. All comparisons are exact intersections of shingle hashes
+Equal sets are merged first. Sets that meet in a cell are compared with that cell's most central set, the one with the fewest cells of its
+own (the original among its copies), and with its smallest; linked ones are
+united; only sets that still lie in different components, meet in a cell and do not have too many cells of their own are then compared with
+each other. So a large group costs about its size, and no link between components is lost. All comparisons are exact intersections of shingle hashes
 (64 bits; equal hashes of different shingles or sets are taken as equal).
 
 A text of fewer words than a shingle is one shingle; null, empty and wordless texts have no shingles and stand alone. Repeated
@@ -21,11 +22,14 @@ from pyspark.sql.window import Window
 
 from .bytescan import Block, binary_values, in_row_windows, mix, slices, span_hashes, window_hashes
 from .components import components
-from .repeat_filter import may_repeat, repeat_filter
+from .repeat_filter import limits_passed, repeat_filter
 from .tables import per_batch, small, stage
 
 BAND_GROWTH = 1.25
-SPARE_CELLS = 1.5
+SPARE_CELLS = 3
+ROWS_AT_ONCE = 1_000
+MARK_BITS = 256
+OFTEN = (1, 3, 8, 24, 100, 1000)  # sets that share a cell: classes of the order of cells
 
 
 def shingle_sets(values, width):
@@ -104,10 +108,11 @@ def sketches(docs, width, scheme):
     """One row per row of ``docs``: size and hash of its set, and the cells of its sketches one after the other."""
 
     def build(batch):
-        sets = shingle_sets(binary_values(batch.column(1)), width)
-        cells = [b"".join(sketch(s, band, p).tobytes() for band, p, _ in scheme.plan(len(s))) if len(s) else None for s in sets]
-        sums = [set_hash(s) for s in sets]
-        yield {"doc_id": batch.column(0).to_pylist(), "n_shingles": [len(s) for s in sets], "e": sums, "cells": cells}
+        ids, values = batch.column(0).to_pylist(), binary_values(batch.column(1))
+        for a, b in slices(values):
+            sets = shingle_sets(values[a:b], width)
+            cells = [b"".join(sketch(s, band, p).tobytes() for band, p, _ in scheme.plan(len(s))) if len(s) else None for s in sets]
+            yield {"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "e": [set_hash(s) for s in sets], "cells": cells}
 
     return per_batch(docs.select("doc_id", "text"), build, "doc_id long, n_shingles long, e long, cells binary")
 
@@ -116,31 +121,41 @@ def cell_counts(sets):
     """(key, n): cell values of all sketches, summed within batches only."""
 
     def count(batch):
-        keys, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
-        yield {"key": keys.view(np.int64), "n": n}
+        for a in range(0, len(batch), ROWS_AT_ONCE):
+            cells = batch.column(0).slice(a, ROWS_AT_ONCE).to_pylist()
+            keys, n = np.unique(np.frombuffer(b"".join(cells), np.uint64), return_counts=True)
+            yield {"key": keys.view(np.int64), "n": n}
 
     return per_batch(sets.select("cells"), count, "key long, n long")
 
 
 def prefixes(sets, repeats, scheme):
-    """(key, e, n): the cells by which each set joins. Cells that no other set has come first in the order and need no join."""
+    """(key, e, n, own, marks): the cells by which each set joins, and how many and which cells of that sketch no other set has.
+
+    Those come first in the order and need no join; then cells of few sets before cells of many.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(repeats)  # fixed size
 
     def choose(batch):
-        keys, owners, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, owners, sizes, alone, marks = [np.zeros(0, np.uint64)], [], [], [], []
         for e, n, cells in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             own, at = np.frombuffer(cells, np.uint64), 0
-            met = may_repeat(shared.value, own)
+            often = limits_passed(shared.value, own)
             for _, p, prefix in scheme.plan(n):
-                part = np.sort(own[at : at + p][met[at : at + p]])
-                chosen = part[: max(0, prefix - (p - len(part)))]
+                part, rank = own[at : at + p], often[at : at + p]
                 at += p
+                single = int((rank == 0).sum())
+                chosen = part[np.lexsort((part, rank))[single : max(single, prefix)]]
                 keys.append(chosen)
-                owners.append(np.full(len(chosen), e, np.int64))
-                sizes.append(np.full(len(chosen), n, np.int64))
-        yield {"key": np.concatenate(keys).view(np.int64), "e": np.concatenate(owners), "n": np.concatenate(sizes)}
+                owners += [e] * len(chosen)
+                sizes += [n] * len(chosen)
+                alone += [single] * len(chosen)
+                folded = np.zeros(MARK_BITS, bool)
+                folded[np.flatnonzero(rank == 0) % MARK_BITS] = True
+                marks += [np.packbits(folded).view(np.int64).tolist()] * len(chosen)
+        yield {"key": np.concatenate(keys).view(np.int64), "e": owners, "n": sizes, "own": alone, "marks": marks}
 
-    return per_batch(sets.select("e", "n", "cells"), choose, "key long, e long, n long")
+    return per_batch(sets.select("e", "n", "cells"), choose, "key long, e long, n long, own long, marks array<long>")
 
 
 def sets_of(docs, wanted, width):
@@ -182,6 +197,13 @@ def _sizes_fit(scheme, n, m):
     return scheme.den * F.least(n, m) >= scheme.num * F.greatest(n, m)
 
 
+def _cells_fit(scheme):
+    """Cells that only x or only y has differ between them, so there are no more of these than the threshold lets differ (folded to MARK_BITS)."""
+    words = range(MARK_BITS // 64)
+    differing = sum((F.bit_count(F.col("x.marks")[k].bitwiseOR(F.col("y.marks")[k])) for k in words), F.lit(0))
+    return differing * (scheme.den + scheme.num) <= (F.col("x.n") + F.col("y.n")) * (scheme.den - scheme.num)
+
+
 def jaccard_components(docs, width=3, num=90, den=100):
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); component_id is the smallest doc_id reachable."""
     scheme = Scheme(num, den)
@@ -190,28 +212,29 @@ def jaccard_components(docs, width=3, num=90, den=100):
         F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("cells").alias("cells")
     )
     sets = stage(sets, "sets")
-    keyed = prefixes(sets, repeat_filter(cell_counts(sets)), scheme)
+    keyed = prefixes(sets, repeat_filter(cell_counts(sets), OFTEN), scheme)
     of_key = Window.partitionBy("key")
     met = keyed.select(
-        *("key", "e", "n"),
-        F.min(F.struct("e", "n")).over(of_key).alias("low"),
-        F.max(F.struct("e", "n")).over(of_key).alias("high"),
+        *("key", "e", "n", "marks"),
+        F.min(F.struct("own", "e", "n")).over(of_key).alias("middle"),
+        F.min(F.struct(F.lit(0).cast("long").alias("own"), "e", "n")).over(of_key).alias("low"),
+        F.max("e").over(of_key).alias("high"),
     )
-    met = stage(met.where("low.e <> high.e"), "cells-shared")
-    ends = F.explode(F.array("low", "high")).alias("end")
+    met = stage(met.where("low.e <> high").drop("high"), "cells-shared")
+    ends = F.explode(F.array("middle", "low")).alias("end")
     first = met.select("e", "n", ends).where((F.col("e") != F.col("end.e")) & _sizes_fit(scheme, F.col("n"), F.col("end.n")))
     first = stage(first.select(F.least("e", "end.e").alias("a"), F.greatest("e", "end.e").alias("b")).distinct(), "first-pairs")
     wanted = met.select("e").distinct().join(sets.select("e", "rep"), "e")
     shingles = stage(sets_of(docs, wanted, width), "shingle-sets")
     links = stage(verified(first, shingles, scheme), "first-links")
     roots = stage(components(links), "first-components")
-    grouped = met.select("key", "e", "n").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
-    grouped = grouped.select("key", "e", "n", F.coalesce("root", "e").alias("root"))
+    grouped = met.select("key", "e", "n", "marks").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
+    grouped = grouped.select("key", "e", "n", "marks", F.coalesce("root", "e").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("key")
     apart = stage(grouped.join(mixed, "key"), "cells-apart")
     x, y = apart.alias("x"), apart.alias("y")
     met_again = (F.col("x.key") == F.col("y.key")) & (F.col("x.e") < F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
-    again = x.join(y, met_again & _sizes_fit(scheme, F.col("x.n"), F.col("y.n")))
+    again = x.join(y, met_again & _sizes_fit(scheme, F.col("x.n"), F.col("y.n")) & _cells_fit(scheme))
     again = again.select(F.col("x.e").alias("a"), F.col("y.e").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(stage(again, "second-pairs"), shingles, scheme))
     roots = stage(components(links), "components")

@@ -1,4 +1,4 @@
-"""A bit table of fixed size that says which 64-bit keys may occur more than once."""
+"""Bit tables of fixed size that say which 64-bit keys may occur more often than given limits."""
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -7,18 +7,20 @@ from .tables import arrays
 FILTER_BITS = 25
 
 
-def repeat_filter(counts):
-    """The table for ``counts`` (key, n), n summed in parts. Keys that occur once are mostly told apart, repeated ones always pass."""
+def repeat_filter(counts, above=(1,)):
+    """One table per limit for ``counts`` (key, n), n summed in parts. Keys at or below a limit are mostly told apart, those above it always pass."""
     again = counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    word, bits = arrays(again.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits")))
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[word] = bits
-    return table.view(np.uint8)
+    words = again.groupBy(F.floor(place / 64).alias("word"))
+    word, *bits = arrays(words.agg(*[F.coalesce(F.bit_or(F.when(F.col("n") > k, bit)), F.lit(0)).alias(f"above_{k}") for k in above]))
+    tables = np.zeros((len(above), 1 << (FILTER_BITS - 6)), np.int64)
+    for table, values in zip(tables, bits, strict=True):
+        table[word] = values
+    return tables.view(np.uint8)
 
 
-def may_repeat(table, keys):
-    """Marks of the keys (unsigned) that may occur more than once."""
+def limits_passed(tables, keys):
+    """How many of the tables' limits each key (unsigned) may exceed."""
     place = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+    return sum((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 for table in tables)
