@@ -333,21 +333,21 @@ def clean(standardized, cfg):
 
 def _line_log(counts, facts, available):
     log = [
-        ("Dates in several formats", facts["non_iso"] or 0, "Parsed: ISO first, then the fallback patterns"),
-        ("Unparseable dates", counts.get(BAD_DATE, 0), "Dropped"),
-        ("Rows without customer id", counts.get(NO_CUSTOMER, 0), "Dropped (reported)"),
-        ("Exact duplicate rows", counts.get(DUPLICATE, 0), "Dropped (kept first)"),
-        ("Repeated transaction_id with different content", counts.get(REPEATED_ID, 0), "Dropped (kept first)"),
-        ("Returns / cancellations", facts["returns"], "Kept, flagged is_return"),
-        ("Invalid quantity", counts.get(BAD_QUANTITY, 0), "Dropped"),
-        ("Negative quantity not covered by the return rule", facts["uncovered_negatives"], "Dropped"),
-        ("unit_price <= 0 or missing", counts.get(BAD_PRICE, 0), "Dropped"),
-        ("Price imputed", facts["imputed"], "Median valid price of the product"),
-        ("Price unrecoverable", counts.get(NO_PRICE, 0), "Dropped"),
-        ("Discount still out of range", facts["reset"], "Set to 0"),
+        ("Dates not in ISO form", facts["non_iso"] or 0, "read by the fallback patterns"),
+        ("No date can be read", counts.get(BAD_DATE, 0), "row removed"),
+        ("No customer", counts.get(NO_CUSTOMER, 0), "row removed, share in the report"),
+        ("Copies of a row", counts.get(DUPLICATE, 0), "one stays"),
+        ("Line id used again for other content", counts.get(REPEATED_ID, 0), "smallest content stays"),
+        ("Return lines", facts["returns"], "kept and flagged"),
+        ("Quantity of no sale", counts.get(BAD_QUANTITY, 0), "row removed"),
+        ("Negative quantity not covered by the return rule", facts["uncovered_negatives"], "row removed"),
+        ("No price above zero", counts.get(BAD_PRICE, 0), "row removed"),
+        ("Price filled in", facts["imputed"], "median price of the product"),
+        ("No price for the product at all", counts.get(NO_PRICE, 0), "row removed"),
+        ("Discount out of range", facts["reset"], "taken as none"),
     ]
     if available.get("discount", True):
-        log.append(("Discount stored as a percentage", facts["percent"], "Divided by 100"))
+        log.append(("Discount given in percent", facts["percent"], "scaled to a share"))
     return log
 
 
@@ -376,14 +376,14 @@ def clean_customers(customers, lines, cfg, available):
         F.count_if("gender_changed").alias("gender"),
         F.count_if(F.col("customer_location") == "Unknown").alias("location"),
     ).first()
-    log = [("Missing registration dates", n["registration"], "Filled with the first purchase date")]
+    log = [("No registration date", n["registration"], "first purchase taken")]
     if available.get("age"):
-        log += [("Impossible ages", n["age"], "Set to missing"), ("Missing age", n["no_age"], "Left missing")]
+        log += [("Age out of range", n["age"], "taken as unknown"), ("No age", n["no_age"], "stays unknown")]
     if available.get("gender"):
-        log.append(("Gender spellings / missing", n["gender"], "Normalised to Female/Male/Unknown"))
+        log.append(("Gender spelled differently or missing", n["gender"], "one of Female, Male, Unknown"))
     if available.get("location"):
-        log.append(("Location missing", n["location"], "Set to 'Unknown'"))
+        log.append(("No location", n["location"], "called Unknown"))
     if available.get("registration_date"):
         early = before_registration(lines, table).first()["before_registration"]
-        log.append(("Transactions dated before registration", early, "Kept"))
+        log.append(("Purchases before registration", early, "kept"))
     return table.select(*CUSTOMER_FIELDS), log

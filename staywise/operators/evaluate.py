@@ -186,8 +186,9 @@ def calibration(df, bins=10):
 
 
 def rule_text(t_low, t_high, base_rate, min_lift=2.0, max_low_churn=0.15):
-    return (
-        f"High = churn probability >= {t_high:.2f}: on validation data the customers at or above it churned at "
-        f">= {min_lift:g}x the base rate ({base_rate:.1%}). Low = probability <= {t_low:.2f}: validation churn rate "
-        f"<= {max_low_churn:.0%}. Medium = in between."
-    )
+    tiers = {
+        "High": f"from {t_high:.2f} up, where validation churn reached {min_lift:g} times its base rate of {base_rate:.1%}",
+        "Low": f"up to {t_low:.2f}, where validation churn stayed within {max_low_churn:.0%}",
+        "Medium": "all between",
+    }
+    return "; ".join(f"{tier}: {where}" for tier, where in tiers.items())

@@ -411,6 +411,6 @@ def shift_note(train_rate, test_rate):
     if abs(train_rate - test_rate) <= SHIFT_NOTE_ABOVE:
         return ""
     return (
-        f"The churn rate differs between training ({train_rate:.1%}) and test ({test_rate:.1%}) periods; "
-        "probabilities may be somewhat miscalibrated on new data."
+        f"Churn moved from {train_rate:.1%} in training to {test_rate:.1%} in the test period: "
+        "read the probabilities as a ranking until the model is fitted again."
     )
