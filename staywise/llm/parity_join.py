@@ -26,7 +26,7 @@ from .repeat_filter import limits_passed, repeat_filter
 from .tables import per_batch, small, stage
 
 BAND_GROWTH = 1.25
-SPARE_CELLS = 3
+SPARE_CELLS = 2
 ROWS_AT_ONCE = 1_000
 MARK_BITS = 256
 OFTEN = (1, 3, 8, 24, 100, 1000)  # sets that share a cell: classes of the order of cells
