@@ -62,8 +62,12 @@ def _files(spark, paths):
 
 
 def _kind(path):
-    bare = path.lower().removesuffix(".gz")
-    return "parquet" if bare.endswith(".parquet") else "tsv" if bare.endswith(".tsv") else "csv"
+    """By the file's suffix, or else by that of the nearest folder that has one."""
+    for part in reversed(path.lower().split("/")):
+        for kind in ("parquet", "tsv", "csv"):
+            if part.removesuffix(".gz").endswith(f".{kind}") and not (kind == "csv" and part.startswith("part-")):
+                return kind
+    return "csv"
 
 
 def _by_header(spark, files):
