@@ -270,6 +270,22 @@ def test_distributions_sum_to_one(spark, docs):
             assert (10**value).sum() + 10**unseen == pytest.approx(1, abs=1e-6)
 
 
+def test_tree_grows_with_the_corpus_and_depth(spark):
+    """A context of 30 occurrences in 1.1 million tokens is a share below any fixed one that bounds the tree, and still tested."""
+    filler = [" ".join(f"f{(j * 7919 + k * 31) % 5003}" for k in range(1000)) for j in range(1100)]
+    rare = [f"rare deep{j % 2} middle word follows{j % 2}" for j in range(60)]
+    rows = [(j, t) for j, t in enumerate([*filler, *rare])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    train = docs.select("text")
+    counts = suffix_tree_lm.stage(suffix_tree_lm.word_counts(train), "word-counts")
+    asked = spark.createDataFrame([(0, "deep0 middle word follows0"), (1, "deep1 middle word follows0"), (None, "middle")], "doc_id long, text string")
+    for depth in (2, 3):
+        found = by_id(suffix_tree_lm.scores(asked, suffix_tree_lm.grow(train, counts, depth), counts, depth), "score")
+        assert len(found) == 3
+        # only three words of context tell the two apart
+        assert (found[0][0] - found[1][0] > 0.8) == (depth == 3)
+
+
 # language
 
 
