@@ -3,9 +3,10 @@
 Per text: code points per token under the vocabulary that suits it best, the share of tokens that are fragments of characters (byte
 fallback), and the entropy of its tokens. Upper-case noise and random strings lower the characters per token, filler and
 attached symbols lower the entropy. A text is rejected outside its group's band: centre (median) plus or minus ``WIDTH`` robust
-deviations, where the groups are language (script where the language is null) and length octave, measured over all documents.
-The centre of a group of fewer than ``LEAST_GROUP`` texts says nothing; there the characters per token are held against the language's own
-band and everything against fixed bands by script. The fallback share is held against the fixed bands everywhere.
+deviations, where the groups are language (script where the language is null) and length octave, measured over all different texts, so copies
+have no weight. Near copies may still crowd a group; its deviation is therefore at least the language's over all lengths and the middle one of its
+octaves. The centre of a group of fewer than ``LEAST_GROUP`` texts says nothing; there the characters per token are held against the
+language's own band. The fixed bands by script hold everywhere.
 
 Base measures come from words (runs without ASCII white space) and ``\\n``-split lines. Null and empty texts have zero measures
 and fail. Repeated rows each get a row; no rows give none; other columns are dropped.
@@ -32,13 +33,14 @@ BANDS = {
 }
 WIDTH = 4.0
 LEAST_GROUP = 30
+LEAST_OCTAVE = 5  # texts of an octave whose spread counts for the language's floor
 ENTROPY_SLOPE = 0.3  # bits of token entropy that a text gains when it doubles, about
 LEAST_DEVIATION = 0.02
 MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW = 30, 20, 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "within_fixed boolean, fallback_ok boolean, script string, chars_per_token double, fallback_share double, token_entropy double, entropy_share double"
 )
 
@@ -125,7 +127,9 @@ def measure(docs, vocabularies=None, bands=BANDS):
             if path not in marks:
                 marks[path] = _fragments(path)
         for a, b in slices(values):
-            measures = base_measures(Block(values[a:b]))
+            block = Block(values[a:b])
+            measures = base_measures(block)
+            hashes = span_hashes(block.codes, block.row_starts, block.row_ends).view(np.int64)
             cut = Cut(values[a:b])
             best, fallback, entropy, share = None, None, None, None
             for path in paths:
@@ -146,39 +150,51 @@ def measure(docs, vocabularies=None, bands=BANDS):
             failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
             fixed = (best >= low) & (best <= high) & (share >= least_entropy)
             names = np.array(["none", *SCRIPTS[1:]], object)[scripts]
-            columns = (keys[a:b], langs[a:b], *measures, failed, fixed, fallback <= most_fallback, names, best, fallback, entropy, share)
+            columns = (keys[a:b], langs[a:b], hashes, *measures, failed, fixed, fallback <= most_fallback, names, best, fallback, entropy, share)
             yield dict(zip((c.split()[0] for c in SCHEMA.split(", ")), columns, strict=True))
 
     return per_batch(docs.select("doc_id", "lang", "text"), judge, SCHEMA)
 
 
-def _with_band(rows, group, names, width):
-    """``rows`` with ``group_size`` and whether all measures of ``names`` lie ``inside`` the band of their ``group``."""
-    centres = rows.groupBy(group).agg(
-        F.count("*").alias("group_size"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_centre") for c in names]
+def _bands(texts, group, names):
+    """Size, centres and spreads of the groups of ``texts``, a stored table with one row per text."""
+    centres = stage(
+        texts.groupBy(group).agg(F.count("*").alias("size"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_centre") for c in names]), "band-centres"
     )
-    centres = small(stage(centres, "band-centres"), ["band_group"])
     distances = [F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_centre")), 0.5, 10_000).alias(f"{c}_spread") for c in names]
-    spreads = small(stage(rows.join(centres, group).groupBy(group).agg(*distances), "band-spreads"), ["band_group"])
+    spreads = texts.join(small(centres, ["band_group"]), group).groupBy(group).agg(*distances)
+    return stage(centres.join(spreads, group), "bands")
+
+
+def _inside(names, width):
+    """Whether all measures lie in the band; the spread is at least the language's own and the one usual in its octaves."""
     inside = F.lit(True)
     for c in names:
-        spread = F.greatest(1.4826 * F.col(f"{c}_spread"), F.lit(LEAST_DEVIATION))
+        spread = F.greatest(*(1.4826 * F.col(f"{c}_{kind}") for kind in ("spread", "wide", "usual")), F.lit(LEAST_DEVIATION))
         inside = inside & (F.abs(F.col(c) - F.col(f"{c}_centre")) <= width * spread)
-    judged = rows.join(centres, group).join(spreads, group).withColumn("inside", inside)
-    return judged.drop(*[f"{c}_{kind}" for c in names for kind in ("centre", "spread")])
+    return inside
 
 
 def with_verdicts(measures, width=WIDTH, least_group=LEAST_GROUP):
-    """``measures`` with the bands of their groups and ``kept``. Reads ``measures`` three times: pass a stored table."""
+    """``measures`` with the bands of their groups and ``kept``. Reads ``measures`` twice: pass a stored table."""
     level = F.col("token_entropy") - ENTROPY_SLOPE * F.log2(F.greatest("n_words", F.lit(1)))
     rows = measures.withColumn("entropy_level", level).withColumn("band_group", F.coalesce("lang", F.concat(F.lit("script "), "script"))).withColumn(
         "octave", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
     )
-    judged = _with_band(rows, ["band_group", "octave"], ("chars_per_token", "entropy_level"), width)
-    judged = _with_band(judged.withColumnsRenamed({"inside": "fine", "group_size": "fine_size"}), ["band_group"], ("chars_per_token",), width)
-    coarse = F.col("within_fixed") & (F.col("inside") | (F.col("group_size") < least_group))
-    in_band = F.when(F.col("fine_size") >= least_group, F.col("fine")).otherwise(coarse)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("fallback_ok") & in_band)
+    names = ("chars_per_token", "entropy_level")
+    texts = stage(rows.select("band_group", "octave", "text_hash", *names).dropDuplicates(["band_group", "octave", "text_hash"]), "band-texts")
+    fine, coarse = _bands(texts, ["band_group", "octave"], names), _bands(texts, ["band_group"], names)
+    usual = fine.where(F.col("size") >= LEAST_OCTAVE).groupBy("band_group")
+    usual = usual.agg(*[F.percentile_approx(f"{c}_spread", 0.5, 10_000).alias(f"{c}_usual") for c in names])
+    wide = coarse.select("band_group", *[F.col(f"{c}_spread").alias(f"{c}_wide") for c in names]).join(usual, "band_group", "left")
+    wide = stage(wide, "band-floors")
+    for bands, of, kind in ((fine, names, "fine"), (coarse, names[:1], "coarse")):
+        group = ["band_group", "octave"] if kind == "fine" else ["band_group"]
+        limits = stage(bands.withColumnRenamed("size", f"{kind}_size").join(wide, "band_group"), f"{kind}-limits")
+        rows = rows.join(small(limits, ["band_group"]), group).withColumn(kind, _inside(of, width))
+        rows = rows.drop(*[f"{c}_{x}" for c in names for x in ("centre", "spread", "wide", "usual")])
+    near = F.when(F.col("fine_size") >= least_group, F.col("fine")).otherwise(F.col("coarse") | (F.col("coarse_size") < least_group))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("fallback_ok") & F.col("within_fixed") & near)
 
 
 def verdicts(docs, vocabularies=None, bands=BANDS, width=WIDTH):

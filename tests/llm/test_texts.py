@@ -229,6 +229,25 @@ def test_verdicts(spark, odd, empty):
     assert good["kept"].mean() > 0.97 and bad["kept"].mean() < 0.5
 
 
+def test_copies_of_one_text_have_no_weight_in_the_bands(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").join(labels, "doc_id", "left_semi")
+    rows = [tuple(r) for r in docs.collect()]
+    longest = [r for r in rows if r[1] == "en" and 128 <= len((r[2] or "").split()) < 256]
+    copied = longest[0][2].split()
+    exact = [(10**6 + k, "en", longest[0][2]) for k in range(len(rows))]
+    near = [(2 * 10**6 + k, "en", " ".join([*copied[: k % len(copied)], f"x{k}", *copied[k % len(copied) + 1 :]])) for k in range(len(rows) // 2)]  # a third of all
+    schema = "doc_id long, lang string, text string"
+    plain = by_id(fertility.verdicts(spark.createDataFrame(rows, schema)), "kept")
+    for more in (exact, near):
+        found = by_id(fertility.verdicts(spark.createDataFrame([*rows, *more], schema)), "kept", "base_failed")
+        clean = [k for k, v in plain.items() if v[0]]
+        assert sum(found[k][0] for k in clean) >= 0.97 * len(clean)
+    # a fixed band counts in groups of any size
+    odd = [(k, "zz", " ".join(f"{(k * 131 + j * 977) % 10**6:06d}" for j in range(140))) for k in range(40)]
+    assert not any(v[0] for v in by_id(fertility.verdicts(spark.createDataFrame(odd, schema), bands={**fertility.BANDS, "none": (50.0, 60.0, 0.15, 0.45)}), "kept").values())
+
+
 # language model
 
 
