@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .bytescan import Block, binary_values, in_row_windows, mix, slices, span_hashes, window_hashes
 from .components import components
 from .repeat_filter import limits_passed, repeat_filter
-from .tables import per_batch, small, stage
+from .tables import per_batch, same, small, stage, text_key
 
 BAND_GROWTH = 1.25
 SPARE_CELLS = 2
@@ -105,16 +105,16 @@ def sketch(hashes, band, cells):
 
 
 def sketches(docs, width, scheme):
-    """One row per row of ``docs``: size and hash of its set, and the cells of its sketches one after the other."""
+    """One row per row of ``docs``: id and text key, size and hash of its set, and the cells of its sketches one after the other."""
 
     def build(batch):
-        ids, values = batch.column(0).to_pylist(), binary_values(batch.column(1))
+        ids, values, keys = batch.column(0).to_pylist(), binary_values(batch.column(1)), batch.column(2).to_pylist()
         for a, b in slices(values):
             sets = shingle_sets(values[a:b], width)
             cells = [b"".join(sketch(s, band, p).tobytes() for band, p, _ in scheme.plan(len(s))) if len(s) else None for s in sets]
-            yield {"doc_id": ids[a:b], "n_shingles": [len(s) for s in sets], "e": [set_hash(s) for s in sets], "cells": cells}
+            yield {"doc_id": ids[a:b], "tkey": keys[a:b], "n_shingles": [len(s) for s in sets], "e": [set_hash(s) for s in sets], "cells": cells}
 
-    return per_batch(docs.select("doc_id", "text"), build, "doc_id long, n_shingles long, e long, cells binary")
+    return per_batch(docs.select("doc_id", "text", text_key(F.col("text"))), build, "doc_id long, tkey string, n_shingles long, e long, cells binary")
 
 
 def cell_counts(sets):
@@ -160,8 +160,8 @@ def prefixes(sets, repeats, scheme):
 
 def sets_of(docs, wanted, width):
     """(e, shingles) of the sets in ``wanted`` (e, rep), read again from the texts of their smallest documents."""
-    ids = small(stage(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), [])
-    chosen = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    ids = small(stage(wanted.select("rep").distinct(), "wanted"), [])
+    chosen = docs.select("doc_id", "text").join(ids, same(F.col("doc_id"), F.col("rep")), "left_semi")
 
     def build(batch):
         sets = shingle_sets(binary_values(batch.column(1)), width)
@@ -193,6 +193,11 @@ def verified(pairs, shingles, scheme):
     return per_batch(joined.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
+def _identity():
+    """What tells a row apart, ordered by id and text key with null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tkey"))
+
+
 def _sizes_fit(scheme, n, m):
     return scheme.den * F.least(n, m) >= scheme.num * F.greatest(n, m)
 
@@ -206,10 +211,15 @@ def _cells_fit(scheme):
 
 def jaccard_components(docs, width=3, num=90, den=100):
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); component_id is the smallest doc_id reachable."""
+    return jaccard_groups(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs, width=3, num=90, den=100):
+    """``jaccard_components`` with ``first``: the smallest (doc_id, text key) reachable, null ids last."""
     scheme = Scheme(num, den)
     rows = stage(sketches(docs, width, scheme), "sketches")
     sets = rows.where("e IS NOT NULL").groupBy("e").agg(
-        F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("cells").alias("cells")
+        F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min(_identity()).alias("first"), F.first("cells").alias("cells")
     )
     sets = stage(sets, "sets")
     keyed = prefixes(sets, repeat_filter(cell_counts(sets), OFTEN), scheme)
@@ -238,8 +248,9 @@ def jaccard_components(docs, width=3, num=90, den=100):
     again = again.select(F.col("x.e").alias("a"), F.col("y.e").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(stage(again, "second-pairs"), shingles, scheme))
     roots = stage(components(links), "components")
-    reps = sets.select("e", "rep").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
-    reps = reps.select("e", "rep", F.coalesce("root", "e").alias("root"))
-    smallest = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_set = stage(reps.join(smallest, "root").select("e", "component_id"), "set-components")
-    return rows.join(of_set, "e", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    reps = sets.select("e", "rep", "first").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
+    reps = reps.select("e", "rep", "first", F.coalesce("root", "e").alias("root"))
+    smallest = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    of_set = stage(reps.select("e", "root").join(smallest, "root").select("e", "component_id", "first"), "set-components")
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.join(of_set, "e", "left").select("doc_id", "n_shingles", component, F.coalesce("first", _identity()).alias("first"))

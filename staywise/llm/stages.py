@@ -11,10 +11,15 @@ def keep_identified(spark, docs, sf_dir):
 
 
 def keep_one_per_group(spark, docs, sf_dir):
-    """Keeps the document of smallest id of every group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    groups = parity_join.jaccard_components(docs, width=5, num=8, den=10)
-    first = groups.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, same(docs["doc_id"], first["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the document of smallest (id, text key), null ids last, of every group of near duplicates (five-word shingles, similarity 0.8 or more).
+
+    Documents are told apart by id and text, so other texts under a kept id go with their own group; of rows equal in both one stays.
+    """
+    groups = parity_join.jaccard_groups(docs, width=5, num=8, den=10)
+    first = groups.select(F.col("first.doc_id").alias("kept_id"), F.col("first.tkey").alias("kept_key")).distinct()
+    keyed = docs.withColumn("kept_text_key", text_key(F.col("text")))
+    kept = keyed.join(first, same(F.col("doc_id"), F.col("kept_id")) & (F.col("kept_text_key") == F.col("kept_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "kept_text_key"]).drop("kept_text_key")
 
 
 def remove_repeated_bytes(spark, docs, sf_dir):

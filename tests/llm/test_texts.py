@@ -358,6 +358,14 @@ def test_pipeline_stages(spark, odd, empty):
     assert kept == {k for k, _ in ODD} - {5, 9}
 
 
+def test_near_duplicates_of_null_and_reused_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, a), (7, a + " end"), (7, c), (9, c), (9, d), (None, None), (None, ""), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted((tuple(r) for r in stages.keep_one_per_group(spark, docs, FOLDER).collect()), key=str)
+    assert kept == sorted([(None, b), (7, a + " end"), (7, c), (9, d), (None, None), (None, ""), (3, None)], key=str)
+
+
 def test_pipeline_run(spark, docs, pairs):
     import corpus_pipeline
 
