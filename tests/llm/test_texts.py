@@ -84,6 +84,14 @@ def test_repeated_bytes_of_odd_texts(odd, empty):
     assert sorted(map(tuple, twice.drop("doc_id").collect())) == sorted(v for v in found.values() for _ in range(2))
 
 
+def test_repeated_bytes_of_null_id_rows(spark):
+    passage = " ".join(f"word{k * 7919 % 1009}" for k in range(60))
+    rows = [(None, "one other start, then " + passage + " and an end"), (5, "again: " + passage + " but not the same end")]
+    found = by_id(suffix_dedup.account(spark.createDataFrame(rows, "doc_id long, text string")), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute.repeats([(-1, rows[0][1]), rows[1]])  # null ids come first
+    assert want[5][1] > 0 and found == {None: want[-1], 5: want[5]}
+
+
 def test_cut_texts_keep_columns_and_whole_characters(odd):
     rows = {r["doc_id"]: r for r in suffix_dedup.cut_texts(odd).collect()}
     assert rows[9]["text"] == " end" or len(rows[9]["text"]) < 200
