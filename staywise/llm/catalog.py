@@ -1,7 +1,19 @@
 """The registered queries of this package."""
-from pyspark.sql import functions as F  # noqa: F401
-
-from . import decontaminate, fertility, language_id, packing, parity_join, style_tree, suffix_dedup, suffix_tree_lm, token_counts, url_filter
+from . import (
+    decontaminate,
+    fertility,
+    language_id,
+    packing,
+    parity_join,
+    periodic_runs,
+    piece_encoding,
+    spelling_variants,
+    style_tree,
+    suffix_dedup,
+    suffix_tree_lm,
+    token_counts,
+    url_filter,
+)
 from .tables import read
 
 
@@ -47,7 +59,34 @@ def op9_script_viterbi(spark, folder):
     return language_id.learn_and_identify(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_site_style_tree, op3_probabilistic_suffix_tree, op4_tokeniser_fertility, op5_best_two_fit, op6_length_histogram, op7_blocked_bloom_url_filter, op8_parity_sketch_join, op9_script_viterbi, op10_prefix_filtered_decontamination)}
+def op11_periodic_runs(spark, folder):
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.with_planted_periods(read(spark, folder, "documents"))))
+
+
+def op12_sentencepiece_spans(spark, folder):
+    return piece_encoding.encoding_digests(piece_encoding.encode_documents(read(spark, folder, "documents")))
+
+
+def op13_permuterm_spellings(spark, folder):
+    return spelling_variants.group_spellings(read(spark, folder, "documents"), edited=spelling_variants.EDITED)
+
+
+_ALL = (
+    op1_suffix_array_dedup,
+    op2_site_style_tree,
+    op3_probabilistic_suffix_tree,
+    op4_tokeniser_fertility,
+    op5_best_two_fit,
+    op6_length_histogram,
+    op7_blocked_bloom_url_filter,
+    op8_parity_sketch_join,
+    op9_script_viterbi,
+    op10_prefix_filtered_decontamination,
+    op11_periodic_runs,
+    op12_sentencepiece_spans,
+    op13_permuterm_spellings,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op7_blocked_bloom_url_filter": url_filter.ORACLE,
     "op10_prefix_filtered_decontamination": decontaminate.ORACLE,
