@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from ..functions.stats import cumdist, exact_quantiles, global_quantiles
+from ..sources.keyed import rows_of
 from .orders import purchases
 
 # Fixed values.
@@ -390,7 +391,12 @@ def win_back(scored, n=500):
 
 
 def customer_history(lines, customer_id):
-    return lines.where(F.col("customer_id") == customer_id)
+    """All lines of a customer; of lines laid out by customer (``sources.keyed``) one bucket is read."""
+    return rows_of(lines, "customer_id", customer_id)
+
+
+def customer_profile(scored, customer_id):
+    return rows_of(scored, "customer_id", customer_id)
 
 
 def customer_months(lines, customer_id):

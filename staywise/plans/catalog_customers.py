@@ -604,7 +604,7 @@ register(
 register(
     "d28_customer_profile",
     "customer_id:s status:s frequency:2 monetary:4 rfm_segment:s",
-    lambda ws: ws.scored.where(F.col("customer_id") == ws.lines.agg(F.min("customer_id")).first()[0]),
+    lambda ws: reports.customer_profile(ws.keyed_scored, ws.keyed_lines.agg(F.min("customer_id")).first()[0]),
     SCORED,
     "SELECT customer_id, status, frequency, monetary, rfm_segment FROM scored WHERE customer_id = (SELECT min(customer_id) FROM t)",
 )

@@ -7,7 +7,7 @@ from ..config import merge
 from ..functions.values import clean_id, parse_date
 from ..operators import cleaning, orders as ordering, quality, reports, standardize
 from ..schema import LINE_FIELDS
-from ..session import shared_folder, stage
+from ..session import shared_folder, stage, staged_path
 from ..sources import star
 from ..sources.tables import read_table
 from . import named_queries
@@ -45,6 +45,32 @@ register(
     None,
     _SPLIT_ORDERS,
 )
+
+
+def _mixed_round_trip(ws):
+    """Orders in folders of CSV files with three headers, gzipped or not, with line breaks inside names and values."""
+    root = staged_path(ws.spark, "mixed")
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", end'))
+    table = ws.table("orders").select(F.col("o_orderkey").cast("string").alias("the\nkey"), F.col("o_custkey").cast("string").alias("cust"), note.alias("note"))
+    number = F.col("`the\nkey`").cast("bigint")
+    parts = {
+        "a.csv": table.where(number % 3 == 0),
+        "deep/b.csv": table.where(number % 3 == 1).select("note", "the\nkey"),
+        "deep/c.csv.gz": table.where(number % 3 == 2).select("cust", "the\nkey"),
+    }
+    for name, part in parts.items():
+        part.write.options(header=True, escape='"', compression="gzip" if name.endswith("gz") else "none").csv(f"{root}/{name}")
+    return read_table(ws.spark, [f"{root}/a.csv", f"{root}/deep"], {"multi_line": True}).withColumnRenamed("the\nkey", "key")
+
+
+register(
+    "s1_read_mixed_headers",
+    "key:s cust:s note:s",
+    _mixed_round_trip,
+    None,
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 <> 1 THEN CAST(o_custkey AS VARCHAR) END AS cust,
+         CASE WHEN o_orderkey % 3 <> 2 THEN o_orderpriority || chr(10) || '"' || o_orderstatus || '", end' END AS note FROM orders""",
+)
 register(
     "s3_read_parquet",
     "l_orderkey:i l_partkey:i l_quantity:4 l_extendedprice:4",
@@ -728,20 +754,20 @@ _ONE = "customer_id = (SELECT min(customer_id) FROM t)"
 
 
 def _one_customer(ws):
-    return ws.lines.agg(F.min("customer_id")).first()[0]
+    return ws.keyed_lines.agg(F.min("customer_id")).first()[0]
 
 
 register(
     "d28_customer_history",
     "order_id:s date:d product_id:s quantity:4 transaction_value:6",
-    lambda ws: reports.customer_history(ws.lines, _one_customer(ws)),
+    lambda ws: reports.customer_history(ws.keyed_lines, _one_customer(ws)),
     T,
     f"SELECT order_id, date, product_id, quantity, transaction_value FROM t WHERE {_ONE}",
 )
 register(
     "d28_customer_months",
     "month:d spend:4",
-    lambda ws: reports.customer_months(ws.lines, _one_customer(ws)),
+    lambda ws: reports.customer_months(ws.keyed_lines, _one_customer(ws)),
     T,
     f"""SELECT date_trunc('month', date) AS month, sum(transaction_value) AS spend FROM t
         WHERE NOT is_return AND {_ONE} GROUP BY 1""",

@@ -9,7 +9,7 @@ from ..session import shared_folder, stage
 from ..sources import star
 from .checks_sql import O, SEGMENTED, features
 from .registry import register
-from .retention_run import RunFolder
+from .run_folder import RunFolder
 
 _END = features("SELECT b AS cutoff FROM span")
 
@@ -204,14 +204,16 @@ register(
 
 
 def _written(ws):
-    """Standardised lines, clean lines and orders written as result tables and read back."""
+    """Standardised lines, orders and customers written as result tables of a run, published and read back by a reader."""
     import uuid
 
-    out = RunFolder(ws.spark, shared_folder(ws.spark), f"written-{uuid.uuid4().hex[:8]}")
+    out = RunFolder.begin(ws.spark, shared_folder(ws.spark), f"written-{uuid.uuid4().hex[:8]}")
     tables = {"lines": ws.lines, "orders": ws.orders, "customers": ws.customers}
     for name, df in tables.items():
         out.write(name, df)
-    return quality.table_shapes(**{name: out.read(name) for name in tables}).select("table", "rows")
+    out.publish()
+    reader = RunFolder(ws.spark, out.root, out.name)
+    return quality.table_shapes(**{name: reader.read(name) for name in tables}).select("table", "rows")
 
 
 register(

@@ -1,11 +1,8 @@
-"""A complete run: files or tables in, result tables out, one folder per run.
+"""A complete run: files or tables in, result tables out, one published version per run (see ``run_folder``).
 
 The driver only sees summaries (counts, dates, thresholds, fitted models); rows stay in Spark. Tables that several steps
-read are written as results first and read back from there.
+read are written as results first and read back from there; what is only staged is removed when the run ends.
 """
-import json
-from dataclasses import dataclass
-
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
@@ -23,42 +20,11 @@ from ..operators import (
     standardize,
     value,
 )
+from ..session import staging
+from ..sources.keyed import bucket_count
 from ..sources.tables import read_table
 from . import named_queries
-
-
-@dataclass
-class RunFolder:
-    """Layout of a run: ``<root>/<run>/<table>``; writing a table replaces what an earlier run left there."""
-
-    spark: object
-    root: str
-    name: str = "default"
-
-    def path(self, table):
-        return f"{self.root.rstrip('/')}/{self.name}/{table}"
-
-    def write(self, table, df, partition_by=None):
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(table))
-        return self.read(table)
-
-    def read(self, table):
-        return self.spark.read.parquet(self.path(table))
-
-    def write_json(self, table, values):
-        text = json.dumps(values, default=str)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path(table))
-
-    def read_json(self, table):
-        return json.loads(self.spark.read.text(self.path(table), wholetext=True).first()[0])
-
-
-def finished_runs(spark, root):
-    """Names of the runs below ``root`` that have metrics."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/metrics/_SUCCESS")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(str(s.getPath().getParent().getParent().getName()) for s in files.globStatus(path) or [])
+from .run_folder import VALIDATION, RunFolder, finished_runs  # noqa: F401
 
 
 def read_sources(spark, cfg, inputs=None):
@@ -76,7 +42,12 @@ def read_sources(spark, cfg, inputs=None):
 def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None, validate_only=False, settings=None):
     """Everything from raw lines to the value-ranked worklist. ``settings`` tunes restarts, rounds and parallel fits."""
     settings = {"restarts": 10, "final_restarts": 20, "rounds": models.ROUNDS, "parallel": 4, **(settings or {})}
-    out = RunFolder(spark, root, name or cfg.get("run") or "default")
+    out = RunFolder.begin(spark, root, name or cfg.get("run") or "default")
+    with staging(spark):
+        return _run(spark, cfg, out, inputs, customers, returns, validate_only, settings)
+
+
+def _run(spark, cfg, out, inputs, customers, returns, validate_only, settings):
     raw, customers_raw, returns_raw = read_sources(spark, cfg, inputs)
     customers_raw = customers if customers is not None else customers_raw
     returns_raw = returns if returns is not None else returns_raw
@@ -85,16 +56,16 @@ def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None,
     standard.lines = out.write("standardized_lines", standard.lines)
     standard.customers = out.write("standardized_customers", standard.customers)
     cleaned = cleaning.clean(standard, cfg)
-    lines = out.write("transactions_clean", cleaned.lines)
+    buckets = bucket_count(cleaned.account["rows_out"])
+    lines = out.write("transactions_clean", cleaned.lines, key="customer_id", buckets=buckets, order=["date"])
+    lines = lines.select(*cleaned.lines.columns)
     people = out.write("customers_clean", cleaned.customers)
     cleaned.lines, cleaned.customers = lines, people
     orders = out.write("orders", ordering.build_orders(lines))
 
     report = quality.validate(cfg["name"], cfg, standard, cleaned, orders)
     if validate_only or report.at("error"):
-        _save_report(out, report)
-        report.raise_if_errors()
-        return report
+        return _stopped(out, report)
     out.write("raw_data_issues", quality.line_issues(standard.lines, cfg))
     out.write("cleaning_log", cleaned.log)
     out.write("column_mapping", standardize.mapping_table(spark, cfg))
@@ -127,8 +98,9 @@ def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None,
     )
     snapshots = out.write("snapshots", snapshots.withColumn("split", F.coalesce(split, F.lit("train"))), "split")
     quality.check_target(report, quality.target_table(snapshots).collect(), window, sensitivity.collect())
+    if report.at("error"):
+        return _stopped(out, report)
     _save_report(out, report)
-    report.raise_if_errors()
     train, validation, test = (snapshots.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
     used, excluded = feats.select_features(train, available)
@@ -166,9 +138,9 @@ def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None,
     else:
         scored = scored.withColumn("favorite_category", F.lit("Not available"))
     scored = out.write("scored_without_value", scored)
-    scored = out.write(
-        "customers_scored", value.value_and_priority(scored, window, cfg["business"]["gross_margin"])
-    )
+    valued = value.value_and_priority(scored, window, cfg["business"]["gross_margin"])
+    scored = out.write("customers_scored", valued, key="customer_id", buckets=bucket_count(segmented.count()))
+    scored = scored.select(*valued.columns)
     named_queries.register(lines, scored)
 
     headline = value.headline(people, orders, lines, scored).first().asDict()
@@ -221,6 +193,15 @@ def run(spark, cfg, root, name=None, inputs=None, customers=None, returns=None,
             "warnings": [f"{c['title']}: {c['detail']}" for c in report.at("warn")] + rfm.rfm_warnings(quality_row),
         },
     )
+    out.publish()
+    return report
+
+
+def _stopped(out, report):
+    """A run that ends with its validation report, which is published as such; an earlier result stays the newest one."""
+    _save_report(out, report)
+    out.publish(VALIDATION)
+    report.raise_if_errors()
     return report
 
 

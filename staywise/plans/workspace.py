@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, cluster, explain, features, models, orders, rfm, standardize, value
 from ..operators.evaluate import risk_level, risk_thresholds
-from ..session import stage
+from ..session import stage, staged_path
 from ..sources import star
+from ..sources.keyed import bucket_count, write_keyed
 
 _spaces = {}
 
@@ -49,6 +50,12 @@ class Workspace:
             "transaction_value", cleaning.line_value()
         )
 
+    @cached_property
+    def keyed_lines(self):
+        """The lines laid out for looking up one customer, as a run writes them."""
+        buckets = bucket_count(self.table("lineitem").count())
+        return write_keyed(self.lines, staged_path(self.spark, "lines-by-customer"), "customer_id", buckets, ["date"])
+
     @cached_property
     def customers(self):
         mapped = standardize.mapped_customers(star.customers(self.spark, self.folder), star.ORDER_LINES)
@@ -143,6 +150,11 @@ class Workspace:
             with_people.join(value.favourite_category(self.lines), "customer_id", "left"), "scored"
         )
 
+    @cached_property
+    def keyed_scored(self):
+        path = staged_path(self.spark, "scored-by-customer")
+        return write_keyed(self.scored, path, "customer_id", bucket_count(self.table("customer").count()))
+
     # --- models --------------------------------------------------------------------------------------------------
 
     @cached_property

@@ -1,10 +1,14 @@
 """Where intermediate tables live, and how much may come to the driver."""
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Observation, SparkSession
 
 _local_folders = {}
+_scopes = []
 
 
 def shared_folder(spark):
@@ -23,11 +27,48 @@ def shared_folder(spark):
 def stage(df, label):
     """Write ``df`` once to the shared folder and read it back: short lineage, survives lost executors, prunable."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/staywise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = staged_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark, label):
+    """A new path for a staged table, inside the innermost open scope."""
+    top = _scopes[-1] if _scopes else f"{shared_folder(spark).rstrip('/')}/staywise/{spark.sparkContext.applicationId}"
+    return f"{top}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def staging(spark):
+    """Everything staged inside is removed at the end, also after a failure. Results must be written elsewhere by then."""
+    scope = staged_path(spark, "scope")
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        remove(spark, scope)
+
+
+def remove(spark, path):
+    """Deletes a folder that this library has written, if it is there. In a store that Arrow cannot reach, Spark empties it instead."""
+    try:
+        store, inner = fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):  # unknown here, or its client is not installed
+        spark.createDataFrame([], "empty int").write.mode("overwrite").parquet(path)
+        return
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)
+
+
+def staged_observed(df, label, **metrics):
+    """``stage`` that also takes metrics (name = aggregate) while writing: (table, values). No second scan."""
+    spark = df.sparkSession
+    seen = Observation(f"{label}-{uuid.uuid4().hex[:12]}")
+    table = stage(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), label)
+    return table, seen.get
+
+
 def checkpointed(df):
     """A reliable checkpoint that keeps partition order, for jobs that number rows by position."""
     spark = df.sparkSession
