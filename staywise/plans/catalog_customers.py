@@ -22,6 +22,13 @@ register(
     features("SELECT b AS cutoff FROM span"),
     "SELECT * FROM f",
 )
+register(
+    "f4_features_of_extended_table",
+    "customer_id:s first_order:d last_order:d " + _FEATURE_SPEC,
+    lambda ws: ws.features_at([ws.span[1]], activity=ws.extended_activity),
+    features("SELECT b AS cutoff FROM span"),
+    "SELECT * FROM f",
+)
 register(
     "f5_active_snapshot",
     "customer_id:s cutoff:d recency_days:2 frequency:2 monetary:4",

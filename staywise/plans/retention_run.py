@@ -80,7 +80,8 @@ def _run(spark, cfg, out, inputs, customers, returns, validate_only, settings):
         window, start, end, analysis["snapshot_step_days"], analysis["min_observation_days"]
     )
 
-    days = out.write("customer_days", feats.customer_days(lines))
+    activity = out.write("customer_activity", feats.activity(lines), "grain")
+    days = out.write("customer_days", feats.days_of(activity))
     at_end = feats.with_registration(feats.features_from_states(feats.states_at(days, [end]), available), people)
     at_end = out.write("features_at_end", at_end.drop("next_order", "cutoff"))
     segmented = rfm.with_status(
@@ -211,9 +212,7 @@ def _save_report(out, report):
 
 
 def _snapshots(days, people, cuts, window, end, available):
-    states = feats.states_at(days, cuts, window)
-    found = feats.with_registration(feats.features_from_states(states, available), people)
-    return feats.labelled(found, cuts, window, end)
+    return feats.snapshots_from_days(days, people, cuts, window, end, available)
 
 
 def _clusters(out, segmented, cfg, settings):

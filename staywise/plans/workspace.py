@@ -59,7 +59,7 @@ class Workspace:
     @cached_property
     def customers(self):
         mapped = standardize.mapped_customers(star.customers(self.spark, self.folder), star.ORDER_LINES)
-        first = self.orders.groupBy("customer_id").agg(F.min("order_date").alias("first"))
+        first = features.first_orders(self.activity)
         return mapped.drop("customer_registration_date").join(first, "customer_id", "left").select(
             "customer_id",
             F.col("first").alias("customer_registration_date"),
@@ -91,8 +91,22 @@ class Workspace:
 
     # --- features, snapshots -------------------------------------------------------------------------------------
 
-    def features_at(self, cutoffs, window=None):
-        return features.compute_features(self.lines, self.customers, cutoffs, window, self.available)
+    @cached_property
+    def activity(self):
+        """What features need to know, from one pass over the lines."""
+        return features.stored(features.activity(self.lines))
+
+    @cached_property
+    def extended_activity(self):
+        """The same in two parts: the lines up to the middle of the data, extended by those of the later days."""
+        first, last = self.span
+        early = F.col("date") <= F.lit(first + (last - first) / 2)
+        before = features.stored(features.activity(self.lines.where(early)))
+        return features.stored(features.merged_activity(before, features.activity(self.lines.where(~early))))
+
+    def features_at(self, cutoffs, window=None, activity=None):
+        days = features.days_of(self.activity if activity is None else activity)
+        return features.features_from_days(days, self.customers, cutoffs, window, self.available)
 
     @cached_property
     def at_end(self):
@@ -101,9 +115,8 @@ class Workspace:
 
     def snapshots(self):
         train, validation, test = self.schedule
-        found = features.snapshots(
-            self.lines, self.customers, [*train, validation, test], self.window, self.span[1], self.available
-        )
+        days, cuts = features.days_of(self.activity), [*train, validation, test]
+        found = features.snapshots_from_days(days, self.customers, cuts, self.window, self.span[1], self.available)
         split = F.when(F.col("cutoff") == F.lit(validation), "validation").when(F.col("cutoff") == F.lit(test), "test")
         return found.withColumn("split", F.coalesce(split, F.lit("train")))
 

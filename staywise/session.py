@@ -24,11 +24,11 @@ def shared_folder(spark):
     return _local_folders[application]
 
 
-def stage(df, label):
+def stage(df, label, partition_by=None):
     """Write ``df`` once to the shared folder and read it back: short lineage, survives lost executors, prunable."""
     spark = df.sparkSession
     path = staged_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
