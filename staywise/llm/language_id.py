@@ -6,8 +6,9 @@ each language, chosen by a hash of the id. A word scores under every language th
 language uses, and words without letters, speak for none. The best sequence of labels pays ``SWITCH_COST`` for each change of language,
 so single odd words do not break a span while a quoted sentence does.
 
-A text's language is the one of most letters; its score is the share of the letters in it. ``und`` with score 0: null, empty or without a
-letter, or when nothing could be learned. Repeated rows get a row each; ties go to the language first in alphabetical order; other
+A text's language is the one of most letters; its score is the share of all its letters in it, so a text in scripts that no language uses
+has the first language with score 0 and a span ``und``. ``und`` with score 0: null, empty or without a letter, or when nothing could be
+learned. A null id is never held out. Repeated rows get a row each; ties go to the language first in alphabetical order; other
 columns are dropped.
 """
 import numpy as np
@@ -23,13 +24,13 @@ SWITCH_COST = 20.0
 TABLE_BITS = 16
 LEAST_SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
-LEAST_SCORE = 0.5
+LEAST_SHARE = 0.5
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first_word:long,n_words:long,lang:string>>"
 
 
 def in_fold(column, folds):
-    """crc32 of the id as text, modulo ``folds``, is 0."""
-    return F.crc32(F.encode(column.cast("string"), "utf-8")) % folds == 0
+    """crc32 of the id as text, modulo ``folds``, is 0; not so for a null id."""
+    return F.coalesce(F.crc32(F.encode(column.cast("string"), "utf-8")) % folds == 0, F.lit(False))
 
 
 def letter_scripts(codes):
@@ -97,13 +98,13 @@ def learn(labelled, sample_rows=SAMPLE_ROWS):
 
 
 def word_scores(block, model):
-    """(scores of every word under every language, letters of every word, first word of each row)."""
+    """(scores of every word under every language, its letters, those of them in a script that some language uses, first word of each row)."""
     starts, _, first = block.words()
     scripts = letter_scripts(block.codes)
     places = trigram_places(block.codes)
     inside = ~SEPARATORS[block.codes]
     if not len(starts):
-        return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64), first
+        return np.zeros((0, len(model["langs"])), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), first
     letters = np.add.reduceat((scripts > 0).astype(np.int64), starts)
     used = np.bitwise_or.reduceat(np.where(scripts > 0, np.int64(1) << scripts.astype(np.int64), 0), starts)
     allowed = (used[:, None] & model["masks"][None, :]) != 0
@@ -112,7 +113,7 @@ def word_scores(block, model):
         scores[:, k] = np.add.reduceat(np.where(inside, model["logs"][k][places], np.float32(0)), starts)
     scores[(letters == 0) | ~allowed.any(1)] = 0
     worst = np.where(allowed, scores, np.float32(0)).min(1, initial=0) - np.float32(SWITCH_COST)
-    return np.where(allowed | ~allowed.any(1)[:, None], scores, worst[:, None]), letters, first
+    return np.where(allowed | ~allowed.any(1)[:, None], scores, worst[:, None]), letters, np.where(allowed.any(1), letters, 0), first
 
 
 def _may_switch(scores, rows, best, cost):
@@ -153,8 +154,8 @@ def _viterbi(scores, begin, lengths, cost):
 
 
 def label_words(block, model, cost=SWITCH_COST):
-    """(label of every word, letters of every word, first word of each row)."""
-    scores, letters, first = word_scores(block, model)
+    """(label of every word, its letters, those in a script of the languages, first word of each row)."""
+    scores, letters, known, first = word_scores(block, model)
     counts = np.diff(first)
     rows = np.repeat(np.arange(len(counts)), counts)
     sums = np.zeros((len(counts), scores.shape[1]))
@@ -168,22 +169,29 @@ def label_words(block, model, cost=SWITCH_COST):
             found = _viterbi(scores, first[:-1][marked], counts[marked], cost)
             inside = np.isin(rows, marked)
             labels[inside] = found[inside]
-    return labels, letters, first
+    return labels, letters, known, first
 
 
 def text_languages(block, model, cost=SWITCH_COST):
-    """(number of the language, the one after the last for none; share of the letters; labels and first words as ``label_words``)."""
+    """Per text: the number of its language (the one after the last for none), the share of its letters in it, the share of its letters in any
+    language, its letters; then labels and first words as ``label_words``. Words of a script that no language uses count for none."""
     n = len(model["langs"])
-    if not n:
-        _, _, first = block.words()
-        first = np.zeros_like(first)
-        return np.zeros(block.rows, np.int64), np.zeros(block.rows), np.zeros(0, np.int16), first
-    labels, letters, first = label_words(block, model, cost)
+    labels, letters, known, first = label_words(block, model, cost) if n else _unlabelled(block)
     rows = np.repeat(np.arange(block.rows), np.diff(first))
-    weight = np.bincount(rows * n + labels, weights=letters, minlength=block.rows * n).reshape(-1, n)
-    total = weight.sum(1)
-    share = np.where(total > 0, weight.max(1) / np.maximum(total, 1), 0.0)
-    return np.where(total > 0, weight.argmax(1), n), share, labels, first
+    total = np.bincount(rows, weights=letters, minlength=block.rows)
+    weight = np.bincount(rows * max(n, 1) + labels, weights=known, minlength=block.rows * max(n, 1)).reshape(-1, max(n, 1))
+    share = lambda part: np.where(total > 0, part / np.maximum(total, 1), 0.0)
+    top = np.where(total > 0, weight.argmax(1), n) if n else np.zeros(block.rows, np.int64)
+    labels = np.where((weight.sum(1) > 0)[rows], labels, n).astype(np.int16)
+    return top, share(weight.max(1, initial=0)), share(weight.sum(1)), total, labels, first
+
+
+def _unlabelled(block):
+    """What ``label_words`` gives when there is no language: the letters alone."""
+    starts, _, first = block.words()
+    scripts = letter_scripts(block.codes)
+    letters = np.add.reduceat((scripts > 0).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    return np.zeros(len(starts), np.int16), letters, np.zeros_like(letters), first
 
 
 def identify(docs, model, cost=SWITCH_COST):
@@ -194,7 +202,7 @@ def identify(docs, model, cost=SWITCH_COST):
         keys, values = np.array(batch.column(0).to_pylist(), object), binary_values(batch.column(1))
         for a, b in slices(values):
             block = Block(values[a:b], lower=True)
-            top, share, labels, first = text_languages(block, model, cost)
+            top, share, _, _, labels, first = text_languages(block, model, cost)
             rows = np.repeat(np.arange(b - a), np.diff(first))
             edge = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
             width = np.diff(np.append(edge, len(rows)))
@@ -213,16 +221,19 @@ def learn_and_identify(docs, folds=5):
     return found.select("doc_id", in_fold(F.col("doc_id"), folds).alias("held_out"), "lang_pred", "score", "spans")
 
 
-def keep_identified(docs, model, least_score=LEAST_SCORE):
-    """The rows of ``docs``, all columns as they are, whose language is known with at least ``least_score``."""
+def keep_identified(docs, model, least_share=LEAST_SHARE):
+    """The rows of ``docs``, all columns as they are, with at least ``least_share`` of their letters in recognised languages, however many.
+
+    When nothing could be learned, every row with a letter stays. Rows without letters go: null, empty, digits or signs alone.
+    """
     text = docs.columns.index("text")
 
     def keep(batches):
         for batch in batches:
             values, kept = binary_values(batch.column(text)), []
             for a, b in slices(values):
-                _, share = text_languages(Block(values[a:b], lower=True), model)[:2]
-                kept.append(share)
-            yield batch.filter(pa.array(np.concatenate(kept) >= least_score)) if kept else batch
+                _, _, known, letters = text_languages(Block(values[a:b], lower=True), model)[:4]
+                kept.append((letters > 0) & ((known >= least_share) | (not model["langs"])))
+            yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
     return docs.mapInArrow(keep, docs.schema)

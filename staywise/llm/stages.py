@@ -6,7 +6,11 @@ from .tables import read, same, small, stage, text_key
 
 
 def keep_identified(spark, docs, sf_dir):
-    """Drops documents without a recognised language: no letters, or no language with half of the letters."""
+    """Drops documents without letters and those with more than half of their letters in scripts that no learned language uses.
+
+    Texts in several languages stay. Without usable labels every document with a letter stays. Null texts go; ids may be null or
+    repeated, equal rows stay or go together, no rows give none.
+    """
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
