@@ -1,7 +1,7 @@
 """Column expressions that turn raw text into ids, numbers, dates and canonical spellings."""
 from pyspark.sql import Column, functions as F, types as T
 
-from ..session import collect_if_small
+from ..session import staged_observed
 
 # Texts that mean "no id".
 EMPTY_IDS = ["", "nan", "none", "null", "<na>"]
@@ -105,35 +105,45 @@ def spelling_key(column: Column) -> Column:
 
 
 def canonical_spellings(df, columns):
-    """``field, spelling_key, canonical``: the commonest surface form of each spelling (the smallest text on ties).
-    All columns are counted in one pass."""
+    """``field, spelling_key, canonical, spellings``: the commonest surface form of each spelling (the smallest text on ties) and how many
+    forms it has. All columns are counted in one pass."""
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
     texts = df.selectExpr(f"stack({len(columns)}, {pairs}) as (field, text)").where("text is not null")
     counted = texts.groupBy("field", spelling_key(F.col("text")).alias("spelling_key"), F.trim("text").alias("surface")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counted.groupBy("field", "spelling_key").agg(
-        F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("canonical")
+        F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("canonical"), F.count(F.lit(1)).alias("spellings")
     )
 
 
-SMALL_VOCABULARY = 5000
+SMALL_VOCABULARY = 8 << 20  # bytes of text
+SPREAD = 1024
 
 
-def unify_spelling(df, columns, learn_from=None):
-    """Replace every spelling by its canonical form, learned from ``learn_from`` (default: the table itself).
+def stored_spellings(df, columns):
+    """The vocabulary written once, its size in bytes, and per column how many spellings are replaced by another."""
+    merged = {c: F.sum(F.when(F.col("field") == c, F.col("spellings") - 1)) for c in columns}
+    size = F.sum(F.octet_length("spelling_key") + F.octet_length("canonical") + 16)
+    words, n = staged_observed(canonical_spellings(df, columns), "spellings", _bytes=size, **merged)
+    return words, n.pop("_bytes") or 0, {c: v or 0 for c, v in n.items()}
 
-    A vocabulary of checked size is broadcast, a larger one is joined like any table.
+
+def unify_spelling(df, columns, vocabulary=None):
+    """Replace every spelling by its canonical form, learned from ``df`` or given as ``stored_spellings``.
+
+    A vocabulary of checked size is broadcast, a larger one is joined like any table; missing texts, which match nothing, are then spread over
+    ``SPREAD`` keys, so they do not meet in one task.
     """
-    vocabulary = canonical_spellings(df if learn_from is None else learn_from, columns)
-    rows = collect_if_small(vocabulary, SMALL_VOCABULARY)
+    words, size, _ = vocabulary or stored_spellings(df, columns)
     for column in columns:
-        if rows is None:
-            words = vocabulary.where(F.col("field") == column).drop("field")
+        mine = words.where(F.col("field") == column).select("spelling_key", "canonical")
+        key = spelling_key(F.col(column))
+        if size <= SMALL_VOCABULARY:
+            mine = F.broadcast(mine)
         else:
-            mine = [(r["spelling_key"], r["canonical"]) for r in rows if r["field"] == column]
-            words = F.broadcast(df.sparkSession.createDataFrame(mine, "spelling_key string, canonical string"))
+            nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("string"))
+            key = F.coalesce(key, nowhere)
         names = [c if c != column else F.col("canonical").alias(column) for c in df.columns]
-        keyed = df.withColumn("spelling_key", spelling_key(F.col(column)))
-        df = keyed.join(words, "spelling_key", "left").select(*names)
+        df = df.withColumn("spelling_key", key).join(mine, "spelling_key", "left").select(*names)
     return df

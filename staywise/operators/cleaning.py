@@ -5,9 +5,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import exact_quantiles, global_quantiles
-from ..functions.values import looks_iso, number, parse_date, unify_spelling
+from ..functions.values import looks_iso, number, parse_date, stored_spellings, unify_spelling
 from ..schema import CUSTOMER_FIELDS, LINE_FIELDS
-from ..session import stage
+from ..session import stage, staged_observed
 from .standardize import content_id
 
 # Removal reasons.
@@ -45,9 +45,14 @@ def _alive():
     return F.col("drop_reason").isNull()
 
 
+def stored_line_spellings(lines, columns):
+    """Vocabulary of the lines still in play."""
+    return stored_spellings(lines.where(_alive()), columns)
+
+
 def unify_lines(lines, columns):
     """Canonical spellings learned from the lines still in play."""
-    return unify_spelling(lines, columns, lines.where(_alive()))
+    return unify_spelling(lines, columns, stored_line_spellings(lines, columns))
 
 
 def collapse_duplicates(lines, subset):
@@ -96,17 +101,35 @@ def price_ok() -> Column:
     return F.coalesce(F.col("unit_price") > 0, F.lit(False))
 
 
+PRICES_IN_ONE_MAP = 1_000_000
+
+
+def median_prices(lines):
+    """``product_id, median``: of the valid prices of each named product.
+
+    Prices are counted per product and value on the map side, and the counts are stored. ``percentile`` then merges the counts of a
+    product into one map; products with more distinct prices than ``PRICES_IN_ONE_MAP`` go through the distributed selection instead.
+    Both are exact.
+    """
+    valid = lines.where(price_ok() & F.col("product_id").isNotNull())
+    counts = stage(valid.groupBy("product_id", "unit_price").agg(F.count(F.lit(1)).alias("n")), "price-counts")
+    sizes = counts.groupBy("product_id").agg(F.count(F.lit(1)).alias("prices"))
+    in_one = lambda df: df.groupBy("product_id").agg(F.expr("percentile(unit_price, 0.5D, n)").alias("median"))
+    if (sizes.agg(F.max("prices")).first()[0] or 0) <= PRICES_IN_ONE_MAP:
+        return in_one(counts)
+    large = sizes.where(F.col("prices") > PRICES_IN_ONE_MAP).select("product_id")
+    split = exact_quantiles(counts.join(large, "product_id", "left_semi"), ["unit_price"], [0.5], by=["product_id"], weight="n")
+    rest = in_one(counts.join(large, "product_id", "left_anti"))
+    return rest.unionByName(split.select("product_id", F.col("q0").alias("median")))
+
+
 def impute_prices(lines):
     """Median valid price of the product, joined only to the lines that need it. Adds ``price_imputed``."""
     alive = _alive() if "drop_reason" in lines.columns else F.lit(True)
     needs = alive & ~price_ok()
     bad, named = lines.where(needs), F.col("product_id").isNotNull()
-    wanted = bad.where(named).select("product_id").distinct()
-    prices = lines.where(alive & price_ok() & named).groupBy("product_id", "unit_price").agg(F.count(F.lit(1)).alias("n"))
-    medians = exact_quantiles(
-        prices.join(wanted, "product_id", "left_semi"), ["unit_price"], [0.5], by=["product_id"], weight="n"
-    ).select("product_id", F.col("q0").alias("_m"))
-    repaired = bad.where(named).join(medians, "product_id", "left").withColumn("unit_price", F.col("_m"))
+    medians = median_prices(lines.where(alive))
+    repaired = bad.where(named).join(medians, "product_id", "left").withColumn("unit_price", F.col("median"))
     nameless = bad.where(~named).withColumn("unit_price", F.lit(None).cast("double"))
     touched = repaired.select(*lines.columns).unionByName(nameless).withColumn("price_imputed", F.lit(True))
     return lines.where(~needs).withColumn("price_imputed", F.lit(False)).unionByName(touched)
@@ -141,7 +164,9 @@ def flag_suspicious(lines):
 
 
 def one_row_per_customer(customers, cfg):
-    """Registration date parsed; repeated ids collapse to the smallest row (aggregated, so no id is a hot window)."""
+    """Registration date parsed; of repeated ids one row stays: the one that knows more from left to right, then the smallest.
+
+    Files have no order here that could name a first row. An aggregation, so no id is a hot window."""
     parsed = customers.withColumn(
         "customer_registration_date",
         parse_date(
@@ -152,13 +177,16 @@ def one_row_per_customer(customers, cfg):
         ),
     )
     rest = CUSTOMER_FIELDS[1:]
-    kept = parsed.groupBy("customer_id").agg(F.min(F.struct(*rest)).alias("_kept"))
+    known_first = F.struct(*[x for c in rest for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    kept = parsed.groupBy("customer_id").agg(F.min(known_first).alias("_kept"))
     return kept.select("customer_id", *[F.col(f"_kept.{c}").alias(c) for c in rest])
 
 
 def add_unlisted_customers(customers, lines):
+    """``unlisted`` marks the customers that only the lines know."""
     unlisted = lines.select("customer_id").distinct().join(customers.select("customer_id"), "customer_id", "left_anti")
-    return customers.unionByName(unlisted, allowMissingColumns=True)
+    listed = customers.withColumn("unlisted", F.lit(False))
+    return listed.unionByName(unlisted.withColumn("unlisted", F.lit(True)), allowMissingColumns=True)
 
 
 def fill_registration(customers, lines):
@@ -182,12 +210,16 @@ def gender_label(column: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(column.cast("string")))), F.lit("Unknown"))
 
 
-def locations(customers):
+def locations(customers, vocabulary=None):
     as_text = customers.withColumn("customer_location", F.col("customer_location").cast("string"))
-    unified = unify_spelling(as_text, ["customer_location"])
+    unified = unify_spelling(as_text, ["customer_location"], vocabulary)
     return unified.withColumn("customer_location", F.coalesce("customer_location", F.lit("Unknown")))
 
 
+def stored_locations(customers):
+    return stored_spellings(customers.select(F.col("customer_location").cast("string")), ["customer_location"])
+
+
 def before_registration(lines, customers):
     """Lines are counted per customer and day before the join, so a customer's size does not matter to it."""
     registered = customers.select("customer_id", "customer_registration_date")
@@ -206,22 +238,25 @@ class Cleaned:
     lines: DataFrame
     log: DataFrame
     account: dict
+    span: tuple  # first and last day of the clean lines
 
 
-def grade_lines(lines, cfg, available):
-    """All line steps as one staged table: canonical columns, ``drop_reason`` (NULL = kept), ``copies`` and flags.
+def graded_with_account(lines, cfg, available):
+    """All line steps as one staged table, and what was counted while it was written.
 
-    Rows are never counted step by step: the reason is a column, so kept rows and the account come from one scan.
+    The table has the canonical columns, ``drop_reason`` (NULL = kept), ``copies`` and flags. Rows are never counted step by step: the reason
+    is a column, and the account is taken along by the write. ``lines`` should be a stored table: it is read for the spellings (two columns
+    and what they depend on) and for the grading.
     """
     collapse = cfg["cleaning"].get("drop_exact_duplicates", True)
     subset = [c for c in LINE_FIELDS if c != "transaction_id" or available.get("transaction_id", True)]
     if collapse:
         lines = lines.select(*subset, "is_return")
-    # read twice below (to learn the spellings and to grade), so the raw text is parsed and mapped only once
-    graded = stage(parse_dates(lines, cfg), "parsed-lines")
-    spelled = [c for c in ("category", "payment_method") if available.get(c)]
+    graded = parse_dates(lines, cfg)
+    spelled, merged = [c for c in ("category", "payment_method") if available.get(c)], {}
     if spelled:
-        graded = unify_lines(graded, spelled)
+        vocabulary = stored_line_spellings(graded, spelled)
+        graded, merged = unify_spelling(graded, spelled, vocabulary), vocabulary[2]
     if collapse:
         graded = collapse_duplicates(graded, subset)
     else:
@@ -251,7 +286,12 @@ def grade_lines(lines, cfg, available):
     )
     window = cfg["analysis"]
     graded = graded.withColumn("in_window", date_window(window.get("data_start"), window.get("data_end")))
-    return stage(graded, "graded-lines")
+    table, counted = staged_observed(graded, "graded-lines", **account_metrics())
+    return table, {**counted, **{f"spellings_{c}": n for c, n in merged.items()}}
+
+
+def grade_lines(lines, cfg, available):
+    return graded_with_account(lines, cfg, available)[0]
 
 
 def date_window(start, end) -> Column:
@@ -260,21 +300,43 @@ def date_window(start, end) -> Column:
     return reduce(lambda a, b: a & b, bounds, F.lit(True))
 
 
-def removal_counts(graded):
-    """``reason, rows``: one aggregation over the graded table; duplicates are the extra copies of kept groups."""
-    extra = F.when(_alive_before_quantity(), F.col("copies") - 1)
-    per_reason = graded.groupBy("drop_reason").agg(
-        F.sum("copies").alias("rows"), F.sum(extra).alias("extra"), F.sum("repeated").alias("repeated")
-    )
-    named = F.coalesce(F.col("drop_reason"), F.lit("kept"))
-    main = per_reason.select(named.alias("reason"), (F.col("rows") - F.coalesce("extra", F.lit(0))).alias("rows"))
-    totals = per_reason.agg(F.sum("extra").alias("extra"), F.sum("repeated").alias("repeated"))
-    stacked = totals.selectExpr(f"stack(2, '{DUPLICATE}', extra, '{REPEATED_ID}', repeated) as (reason, rows)")
-    return main.unionByName(stacked).where("rows > 0")
+ROW_REASONS = [BAD_DATE, NO_CUSTOMER, BAD_QUANTITY, BAD_PRICE, NO_PRICE]
+
+
+def account_metrics():
+    """Everything the account and the log count on graded lines; duplicates are the extra copies of groups that passed the first checks."""
+    alive, copies = _alive(), F.col("copies")
+    compared = alive | F.col("drop_reason").isin(BAD_QUANTITY, BAD_PRICE, NO_PRICE)
+    groups = F.when(compared, F.lit(1)).otherwise(copies)
+    counted = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0))
+    shown = alive & F.col("in_window")
+    return {
+        "kept": counted(alive, groups),
+        **{f"reason_{i}": counted(F.col("drop_reason") == r, groups) for i, r in enumerate(ROW_REASONS)},
+        "duplicates": counted(compared, copies - 1),
+        "repeated": F.coalesce(F.sum("repeated"), F.lit(0)),
+        "non_iso": F.coalesce(F.sum("non_iso_rows"), F.lit(0)),
+        "returns": F.count_if(alive & F.col("is_return")),
+        "imputed": F.count_if(alive & F.col("price_imputed")),
+        "percent": F.count_if(alive & F.col("percent_discount")),
+        "reset": F.count_if(alive & F.col("discount_reset")),
+        "outside": F.count_if(alive & ~F.col("in_window")),
+        "outside_returns": F.count_if(alive & ~F.col("in_window") & F.col("is_return")),
+        "uncovered_negatives": F.count_if((F.col("drop_reason") == BAD_QUANTITY) & (F.col("quantity") < 0) & ~F.col("is_return")),
+        "first_day": F.min(F.when(shown, F.col("date"))),
+        "last_day": F.max(F.when(shown, F.col("date"))),
+    }
+
 
+def removal_counts(counted):
+    """``{reason: rows}`` of what was counted, with the rows kept; reasons without rows are left out."""
+    rows = {"kept": counted["kept"], **{r: counted[f"reason_{i}"] for i, r in enumerate(ROW_REASONS)}}
+    rows |= {DUPLICATE: counted["duplicates"], REPEATED_ID: counted["repeated"]}
+    return {reason: n for reason, n in rows.items() if n}
 
-def _alive_before_quantity():
-    return _alive() | F.col("drop_reason").isin(BAD_QUANTITY, BAD_PRICE, NO_PRICE)
+
+def account_table(spark, counted):
+    return spark.createDataFrame(list(removal_counts(counted).items()), "reason string, rows bigint")
 
 
 KEPT_COLUMNS = [*LINE_FIELDS, "is_return", "transaction_value"]
@@ -287,29 +349,17 @@ def kept_lines(graded):
 def clean(standardized, cfg):
     """Clean lines, clean customers, log of decisions and row account."""
     available = standardized.availability
-    graded = grade_lines(standardized.lines, cfg, available)
-    counts = {r["reason"]: r["rows"] for r in removal_counts(graded).collect()}
+    graded, counted = graded_with_account(standardized.lines, cfg, available)
+    counts = removal_counts(counted)
     kept = counts.pop("kept", 0)
-    facts = graded.agg(
-        F.sum("non_iso_rows").alias("non_iso"),
-        F.count_if(_alive() & F.col("is_return")).alias("returns"),
-        F.count_if(_alive() & F.col("price_imputed")).alias("imputed"),
-        F.count_if(_alive() & F.col("percent_discount")).alias("percent"),
-        F.count_if(_alive() & F.col("discount_reset")).alias("reset"),
-        F.count_if(_alive() & ~F.col("in_window")).alias("outside"),
-        F.count_if(_alive() & ~F.col("in_window") & F.col("is_return")).alias("outside_returns"),
-        F.count_if(
-            (F.col("drop_reason") == BAD_QUANTITY) & (F.col("quantity") < 0) & ~F.col("is_return")
-        ).alias("uncovered_negatives"),
-    ).first()
     everything = sum(counts.values()) + kept
-    if facts["outside"]:
-        counts[OUTSIDE_WINDOW] = facts["outside"]
+    if counted["outside"]:
+        counts[OUTSIDE_WINDOW] = counted["outside"]
     if available.get("non_product_lines"):
         counts[NON_PRODUCT] = available["non_product_lines"]
         everything += available["non_product_lines"]
-    returns_kept = facts["returns"] - facts["outside_returns"]
-    rows_out = kept - facts["outside"]
+    returns_kept = counted["returns"] - counted["outside_returns"]
+    rows_out = kept - counted["outside"]
     account = {
         "rows_in": everything,
         "rows_out": rows_out,
@@ -324,35 +374,51 @@ def clean(standardized, cfg):
     everyone = flag_suspicious(kept_lines(graded))
     customers, customer_log = clean_customers(standardized.customers, everyone, cfg, available)
     lines = everyone.where("in_window").drop("in_window")
-    spark = graded.sparkSession
-    log = spark.createDataFrame(
-        _line_log(counts, facts, available) + customer_log, "issue string, rows_affected bigint, decision string"
-    )
-    return Cleaned(customers, lines, log, account)
+    suspicious = everyone.where("suspicious_value").count()
+    log = log_table(graded.sparkSession, line_log(counts, {**counted, "suspicious": suspicious}, available) + customer_log)
+    return Cleaned(customers, lines, log, account, (counted["first_day"], counted["last_day"]))
+
 
+def log_table(spark, entries):
+    return spark.createDataFrame(entries, "issue string, rows_affected bigint, decision string, rationale string")
 
-def _line_log(counts, facts, available):
+
+def line_log(counts, counted, available):
+    """What was found in the lines, how many rows it touched, what was done and why."""
+    rows = counts.get
     log = [
-        ("Dates not in ISO form", facts["non_iso"] or 0, "read by the fallback patterns"),
-        ("No date can be read", counts.get(BAD_DATE, 0), "row removed"),
-        ("No customer", counts.get(NO_CUSTOMER, 0), "row removed, share in the report"),
-        ("Copies of a row", counts.get(DUPLICATE, 0), "one stays"),
-        ("Line id used again for other content", counts.get(REPEATED_ID, 0), "smallest content stays"),
-        ("Return lines", facts["returns"], "kept and flagged"),
-        ("Quantity of no sale", counts.get(BAD_QUANTITY, 0), "row removed"),
-        ("Negative quantity not covered by the return rule", facts["uncovered_negatives"], "row removed"),
-        ("No price above zero", counts.get(BAD_PRICE, 0), "row removed"),
-        ("Price filled in", facts["imputed"], "median price of the product"),
-        ("No price for the product at all", counts.get(NO_PRICE, 0), "row removed"),
-        ("Discount out of range", facts["reset"], "taken as none"),
+        ("Dates not in ISO form", counted["non_iso"], "read by the fallback patterns", "the order of day and month follows the configuration"),
+        ("No date can be read", rows(BAD_DATE, 0), "row removed", "nothing can be placed in time without its day"),
+        ("No customer", rows(NO_CUSTOMER, 0), "row removed, share in the report", "guests cannot return as themselves"),
     ]
+    for column in ("category", "payment_method"):
+        if f"spellings_{column}" in counted:
+            log.append(
+                (f"Spellings of {column} merged", counted[f"spellings_{column}"], "commonest spelling taken", "case and outer spaces carry no meaning")
+            )
+    log += [
+        ("Copies of a row", rows(DUPLICATE, 0), "one stays", "a row equal in every field was booked twice"),
+        ("Line id used again for other content", rows(REPEATED_ID, 0), "smallest content stays", "an id names one line"),
+        ("Return lines", counted["returns"], "kept and flagged", "they lower the net revenue but are no purchases"),
+        ("Quantity of no sale", rows(BAD_QUANTITY, 0), "row removed", "a sale has a positive quantity, a return a negative one"),
+        (
+            "Negative quantity not covered by the return rule", counted["uncovered_negatives"], "row removed",
+            "the true quantity is unknown; another returns.method may fit",
+        ),
+        ("No price above zero", rows(BAD_PRICE, 0), "row removed", "its value would be invented"),
+        ("Price filled in", counted["imputed"], "median price of the product", "a product's price changes little"),
+        ("No price for the product at all", rows(NO_PRICE, 0), "row removed", "there is nothing to fill it in from"),
+        ("Discount out of range", counted["reset"], "taken as none", "no share of a price lies outside 0 to 1"),
+    ]
     if available.get("discount", True):
-        log.append(("Discount given in percent", facts["percent"], "scaled to a share"))
+        log.append(("Discount given in percent", counted["percent"], "scaled to a share", "values above 1 and up to 100 are percent"))
+    why = "real bulk orders are rare but real; the flag lets a reader look"
+    log.append(("Very large purchase", counted["suspicious"], f"kept, flagged above the {SUSPICIOUS_QUANTILE:.1%} quantile", why))
     return log
 
 
 def clean_customers(customers, lines, cfg, available):
-    """Customer steps in order; returns the table and its log rows (one aggregation)."""
+    """Customer steps in order; returns the table and its log rows, counted while the table is written."""
     listed = one_row_per_customer(customers, cfg)
     table = add_unlisted_customers(listed, lines)
     table = fill_registration(table, lines)
@@ -364,26 +430,40 @@ def clean_customers(customers, lines, cfg, available):
     raw_gender = F.col("customer_gender").cast("string")
     gender = gender_label(F.col("customer_gender")) if available.get("gender") else F.lit("Unknown")
     table = table.withColumn("gender_changed", ~raw_gender.eqNullSafe(gender)).withColumn("customer_gender", gender)
+    merged = 0
     if available.get("location"):
-        table = locations(table)
+        vocabulary = stored_locations(customers)
+        merged, table = vocabulary[2]["customer_location"], locations(table, vocabulary)
     else:
         table = table.withColumn("customer_location", F.lit("Unknown"))
-    table = stage(table, "customers")
-    n = table.agg(
-        F.count_if("registration_filled").alias("registration"),
-        F.count_if("age_impossible").alias("age"),
-        F.count_if(F.col("customer_age").isNull()).alias("no_age"),
-        F.count_if("gender_changed").alias("gender"),
-        F.count_if(F.col("customer_location") == "Unknown").alias("location"),
-    ).first()
-    log = [("No registration date", n["registration"], "first purchase taken")]
+    table, n = staged_observed(
+        table,
+        "customers",
+        unlisted=F.count_if("unlisted"),
+        registration=F.count_if("registration_filled"),
+        age=F.count_if("age_impossible"),
+        no_age=F.count_if(F.col("customer_age").isNull()),
+        gender=F.count_if("gender_changed"),
+        location=F.count_if(F.col("customer_location") == "Unknown"),
+    )
+    log = []
+    if available.get("customer_table", True):
+        log.append(("Customer in the lines only", n["unlisted"], "added", "whoever bought is a customer, listed or not"))
+    log.append(("No registration date", n["registration"], "first purchase taken", "the earliest day on which the customer is known"))
     if available.get("age"):
-        log += [("Age out of range", n["age"], "taken as unknown"), ("No age", n["no_age"], "stays unknown")]
+        low, high = AGE_RANGE
+        log += [
+            ("Age out of range", n["age"], "taken as unknown", f"buyers are {low} to {high} years old"),
+            ("No age", n["no_age"], "stays unknown", "a guess would shift the tables by age"),
+        ]
     if available.get("gender"):
-        log.append(("Gender spelled differently or missing", n["gender"], "one of Female, Male, Unknown"))
+        log.append(("Gender spelled differently or missing", n["gender"], "one of Female, Male, Unknown", "one label per meaning"))
     if available.get("location"):
-        log.append(("No location", n["location"], "called Unknown"))
+        log += [
+            ("Spellings of customer_location merged", merged, "commonest spelling taken", "case and outer spaces carry no meaning"),
+            ("No location", n["location"], "called Unknown", "the customer stays in the tables by place"),
+        ]
     if available.get("registration_date"):
         early = before_registration(lines, table).first()["before_registration"]
-        log.append(("Purchases before registration", early, "kept"))
+        log.append(("Purchases before registration", early, "kept", "people buy as guests and register later"))
     return table.select(*CUSTOMER_FIELDS), log

@@ -1,13 +1,10 @@
 """Behavioural clusters: prepared features, k-means with restarts, choice of k, stability, profile and names."""
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.stats import global_quantiles
+from .many_kmeans import best_fits, fit_many, labelled, silhouettes
 
 # Fixed values.
 CLUSTER_FEATURES = ["recency_days", "frequency", "monetary", "aov", "purchase_frequency_30d", "n_unique_categories"]
@@ -59,31 +56,21 @@ def vectors(prepared, features):
 
 
 def fit_kmeans(data, k, seed=42, restarts=20):
-    """Best of several seeded starts by training cost. The starts are independent jobs over one cached table."""
-    best = None
-    for start in range(restarts):
-        model = KMeans(k=k, seed=seed + start, featuresCol="vector", predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
+    """Best of several seeded starts by training cost, all fitted in the same passes."""
+    return best_fits(fit_many(data, [(k, seed + start) for start in range(restarts)]))[0]
 
 
-def evaluate_k(data, n, ks=K_RANGE, seed=42, restarts=10, parallel=4):
-    """``[(k, inertia, silhouette)]`` for every k that leaves about twenty customers per cluster.
+def evaluate_k(data, n, ks=K_RANGE, seed=42, restarts=10):
+    """``[(k, inertia, silhouette)]`` for every k that leaves about twenty customers per cluster; all starts of all k share the passes.
 
-    The silhouette is Spark's: squared Euclidean over all rows in linear work. The pairwise Euclidean one would compare
+    The silhouette is of squared Euclidean distances over all rows in linear work. The pairwise Euclidean one would compare
     every customer with every other.
     """
-    silhouette = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
-
-    def one(k):
-        model = fit_kmeans(data, k, seed, restarts)
-        return k, float(model.summary.trainingCost), float(silhouette.evaluate(model.transform(data)))
-
     wanted = [k for k in ks if k < n // CUSTOMERS_PER_CLUSTER]
-    with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(one, wanted))
+    if not wanted:
+        return []
+    best = best_fits(fit_many(data, [(k, seed + start) for k in wanted for start in range(restarts)]))
+    return [(f.k, f.cost, s) for f, s in zip(best, silhouettes(data, best), strict=True)]
 
 
 def choose_k(evaluated, low=ACTIONABLE_K[0], high=ACTIONABLE_K[1], tolerance=SILHOUETTE_TOLERANCE):
@@ -111,10 +98,9 @@ def adjusted_rand(labels, a, b):
 
 def stability(data, k, seeds=STABILITY_SEEDS, restarts=5):
     """Mean adjusted Rand index of the clusterings of other seeds against the first."""
-    labels = data
-    for i, seed in enumerate(seeds):
-        model = fit_kmeans(data, k, seed * 1000, restarts)
-        labels = model.setPredictionCol(f"label{i}").transform(labels)
+    fits = fit_many(data, [(k, seed * 1000 + start) for seed in seeds for start in range(restarts)])
+    best = [best_fits(fits[i * restarts : (i + 1) * restarts])[0] for i in range(len(seeds))]
+    labels = labelled(data, {f"label{i}": f for i, f in enumerate(best)})
     scores = [adjusted_rand(labels, "label0", f"label{i}").first()["ari"] for i in range(1, len(seeds))]
     return sum(scores) / len(scores)
 

@@ -109,9 +109,18 @@ def is_boosting(model):
 
 
 def probability(model, df, keep=("customer_id",)):
-    """``keep`` columns and ``p``, the probability of churn."""
-    scored = model.transform(df if "cutoff" in df.columns else df.withColumn("cutoff", F.lit(None).cast("date")))
-    return scored.select(*keep, vector_to_array("probability")[1].alias("p"))
+    """``keep`` columns and ``p``, the probability of churn.
+
+    The logistic model is written out as plain columns: its ``transform`` would carry the training summary, and with it the session, to
+    every task.
+    """
+    dated = df if "cutoff" in df.columns else df.withColumn("cutoff", F.lit(None).cast("date"))
+    if is_boosting(model):
+        return model.transform(dated).select(*keep, vector_to_array("probability")[1].alias("p"))
+    prepared, assembler, linear = model.stages
+    terms = [F.col(c) * F.lit(float(w)) for c, w in zip(assembler.getInputCols(), linear.coefficients, strict=True)]
+    margin = sum(terms, F.lit(float(linear.intercept)))
+    return prepared.transform(dated).select(*keep, (1.0 / (1.0 + F.exp(-margin))).alias("p"))
 
 
 def outcomes(model, df, target=TARGET):

@@ -17,6 +17,7 @@ COMPARED = [
     "recency_days", "frequency", "monetary", "aov", "discount_order_share", "n_unique_categories",
     "frequency_change", "avg_gap_days",
 ]
+SUBSTITUTES = ["n_unique_products", "orders_90d", "spend_90d", "active_months"]
 MEDIANS = [
     "recency_days", "frequency", "monetary", "aov", "avg_gap_days", "discount_order_share", "n_unique_categories",
     "n_unique_products", "frequency_change",
@@ -231,6 +232,12 @@ def buy_again_by_recency(snapshot, width=10):
     )
 
 
+def compared_features(available=None):
+    """The features to compare: those of ``COMPARED`` that the data has, filled up from ``SUBSTITUTES``."""
+    has = lambda name: available is None or name in available
+    return [c for c in [*COMPARED, *SUBSTITUTES] if has(c)][: len(COMPARED)]
+
+
 def quartiles_by_outcome(snapshot, columns=COMPARED):
     found = exact_quantiles(snapshot, list(columns), [0.25, 0.5, 0.75], by=["churned"])
     return found.select(

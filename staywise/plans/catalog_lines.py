@@ -11,7 +11,7 @@ from ..session import shared_folder, stage, staged_path
 from ..sources import star
 from ..sources.tables import read_table
 from . import named_queries
-from .checks_sql import CLEAN, DAY, DIRTY, O, SCHEDULE, T
+from .checks_sql import CLEAN, DAY, DIRTY, O, RAW, SCHEDULE, T
 from .registry import register
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -212,11 +212,15 @@ register(
     lambda ws: standardize.mapped_lines(
         _negated(ws), merge(star.DIRTY_LINES, {"returns": {"method": "auto", "column": "inv"}})
     )[0],
-    DIRTY
-    + """, neg AS (SELECT *, CASE WHEN kind = 'R' THEN -q0 ELSE q0 END AS q1 FROM std),
-     pre AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(upper(inv), '^[A-Z]')) AS lettered FROM neg WHERE q1 < 0)""",
-    """SELECT order_id, product_id, CASE WHEN flag THEN -abs(q1) ELSE q1 END AS quantity, flag AS is_return
-       FROM (SELECT neg.*, coalesce(q1 < 0 AND (lettered < 0.8 * n OR inv LIKE 'C%'), false) AS flag FROM neg, pre)""",
+    RAW
+    + """, once AS (
+  SELECT l_orderkey AS k, l_returnflag = 'R' AS back, CASE WHEN l_partkey % 113 = 0 THEN 'POST' ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
+         CASE WHEN l_orderkey % 97 = 0 THEN 0 WHEN l_returnflag = 'R' OR l_orderkey % 89 = 0 THEN -l_quantity ELSE l_quantity END AS q
+  FROM raw),
+ neg AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE k % 83 = 0),
+ pre AS (SELECT avg(CAST(back AS INT)) >= 0.8 AS by_prefix FROM neg WHERE q < 0)""",
+    """SELECT CASE WHEN back THEN 'C' ELSE '' END || k AS order_id, product_id, q AS quantity,
+         q < 0 AND (back OR NOT by_prefix) AS is_return FROM neg, pre""",
 )
 register(
     "p15_returned_quantity_sign",
@@ -267,11 +271,8 @@ register(
 register(
     "p20_availability",
     "registration_date:b age:b gender:b location:b",
-    lambda ws: standardize.mapped_customers(star.customers(ws.spark, ws.folder), star.ORDER_LINES).agg(
-        *[
-            F.max(F.col(column).isNotNull()).alias(label)
-            for label, column in standardize.DEMOGRAPHICS.items()
-        ]
+    lambda ws: standardize.availability_table(
+        ws.spark, standardize.standardize(ws.raw, star.ORDER_LINES, star.customers(ws.spark, ws.folder)).availability
     ),
     None,
     "SELECT 0 AS registration_date, 0 AS age, 0 AS gender, CAST(count(n_name) > 0 AS INT) AS location FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -318,8 +319,16 @@ register(
     "c5_canonical_spelling",
     "order_id:s product_id:s category:s",
     lambda ws: cleaning.unify_lines(_parsed(ws), ["category"]).where("drop_reason is null"),
-    CLEAN,
-    "SELECT order_id, product_id, category FROM spelled WHERE reason1 IS NULL",
+    RAW
+    + """, once AS (
+  SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || l_orderkey AS order_id,
+         CAST(l_partkey AS VARCHAR) AS product_id,
+         CASE l_orderkey % 7 WHEN 1 THEN lower(p_type) WHEN 2 THEN upper(p_type) ELSE p_type END AS dept
+  FROM raw WHERE l_partkey % 113 <> 0 AND l_orderkey % 101 <> 0 AND l_orderkey % 53 <> 0 AND l_orderkey % 59 <> 0),
+ named AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE k % 83 = 0),
+ counted AS (SELECT lower(dept) AS key, dept, count(*) AS n FROM named GROUP BY 1, 2),
+ surface AS (SELECT key, arg_min(dept, (-n, dept)) AS category FROM counted GROUP BY key)""",
+    "SELECT order_id, product_id, category FROM named JOIN surface ON key = lower(dept)",
 )
 
 
@@ -431,7 +440,10 @@ def _people(ws):
         place.alias("customer_location"),
         k.alias("k"),
     )
-    return one.unionByName(one.where("k % 13 = 0").withColumn("customer_age", F.lit("999"))).where("k % 17 <> 0").drop("k")
+    k = F.col("k")
+    again = one.where("k % 13 = 0").withColumn("customer_age", F.lit("999"))
+    poorer = again.withColumn("customer_registration_date", F.when(k % 2 == 0, F.col("customer_registration_date")))
+    return one.unionByName(poorer.withColumn("customer_gender", F.when(k % 3 == 0, F.col("customer_gender")))).where("k % 17 <> 0").drop("k")
 
 
 _CUST = (
@@ -522,10 +534,72 @@ register(
 register(
     "c21_row_account",
     "reason:s rows:i",
-    lambda ws: cleaning.removal_counts(ws.dirty_graded),
+    lambda ws: cleaning.account_table(ws.spark, ws.dirty_account[1]),
     CLEAN,
     "SELECT coalesce(reason, 'kept') AS reason, count(*) AS rows FROM graded GROUP BY 1",
 )
+
+
+def _log(ws):
+    """The cleaning log of the lines with defects, and of customers of whom every seventeenth is not listed."""
+    standard = standardize.standardize(ws.dirty, star.DIRTY_LINES)
+    people = {"customer_table": True, **{label: True for label in ("registration_date", "age", "gender", "location")}}
+    standard.customers, standard.availability = _people(ws), {**standard.availability, **people}
+    return cleaning.clean(standard, {**star.DIRTY_LINES, **_DAYFIRST}).log
+
+
+_COUNT = lambda issue, condition, table="graded": f"SELECT '{issue}' AS issue, count(*) AS rows_affected FROM {table} WHERE {condition}"
+_MERGED = lambda column, table: (
+    f"SELECT 'Spellings of {column} merged' AS issue, count(DISTINCT key || '/' || spelling) - count(DISTINCT key) AS rows_affected FROM {table}"
+)
+register(
+    "c21_cleaning_log",
+    "issue:s rows_affected:i explained:b",
+    lambda ws: _log(ws).withColumn("explained", (F.length("decision") > 0) & (F.length("rationale") > 0)),
+    CLEAN
+    + """, listed AS (
+  SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS customer_id,
+         CASE WHEN c_custkey % 11 <> 0 THEN DATE '1994-01-01' + CAST(c_custkey % 900 AS INTEGER) END AS registered,
+         CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 120 WHEN c_custkey % 13 = 0 AND (c_custkey % 2 = 0 OR c_custkey % 11 = 0) THEN 999 END AS age,
+         c_custkey % 4 < 2 AS known_gender, CASE c_custkey % 5 WHEN 0 THEN upper(n_name) WHEN 1 THEN lower(n_name) WHEN 2 THEN NULL ELSE n_name END AS place
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 17 <> 0),
+ buyers AS (SELECT customer_id, min(date) FILTER (NOT is_return) AS first_day FROM clean GROUP BY customer_id),
+ everyone AS (
+  SELECT customer_id, coalesce(registered, first_day) AS registered, registered IS NULL AS filled, age, known_gender, place,
+         listed.customer_id IS NULL AS unlisted FROM listed FULL JOIN buyers USING (customer_id)),
+ places AS (SELECT lower(place) AS key, place AS spelling FROM listed WHERE place IS NOT NULL),
+ large AS (SELECT quantile_cont(transaction_value, 0.999) AS q FROM clean WHERE NOT is_return)""",
+    "SELECT *, 1 AS explained FROM ("
+    + " UNION ALL ".join(
+        [
+            _COUNT("Dates not in ISO form", "day IS NOT NULL AND k % 4 IN (2, 3)"),
+            _COUNT("No date can be read", "reason = 'unparseable date'"),
+            _COUNT("No customer", "reason = 'missing customer id'"),
+            _MERGED("category", "surface"),
+            _MERGED("payment_method", "surface_pay"),
+            _COUNT("Copies of a row", "reason = 'exact duplicate row'"),
+            _COUNT("Return lines", "is_return", "clean"),
+            _COUNT("Quantity of no sale", "reason LIKE 'invalid quantity%'"),
+            _COUNT("Negative quantity not covered by the return rule", "reason LIKE 'invalid quantity%' AND quantity < 0 AND NOT is_return"),
+            _COUNT("No price above zero", "reason LIKE 'invalid price%'"),
+            _COUNT("Line id used again for other content", "false"),
+            _COUNT("Price filled in", "false"),
+            _COUNT("No price for the product at all", "false"),
+            _COUNT("Discount out of range", "reason IS NULL AND (discount < 0 OR discount > 100)"),
+            _COUNT("Discount given in percent", "reason IS NULL AND discount > 1 AND discount <= 100"),
+            _COUNT("Very large purchase", "NOT is_return AND transaction_value > q", "clean, large"),
+            _COUNT("Customer in the lines only", "unlisted", "everyone"),
+            _COUNT("No registration date", "filled", "everyone"),
+            _COUNT("Age out of range", "age IS NOT NULL AND age NOT BETWEEN 16 AND 100", "everyone"),
+            _COUNT("No age", "age IS NULL OR age NOT BETWEEN 16 AND 100", "everyone"),
+            _COUNT("Gender spelled differently or missing", "true", "everyone"),
+            _MERGED("customer_location", "places"),
+            _COUNT("No location", "place IS NULL", "everyone"),
+            _COUNT("Purchases before registration", "date < registered", "clean JOIN everyone USING (customer_id)"),
+        ]
+    )
+    + ")",
+)
 register(
     "c21_clean_lines",
     _LINE + " transaction_value:6 is_return:b",
@@ -560,7 +634,7 @@ _PROFILE = ["customer_id", "order_id", "date", "product_id", "category", "quanti
 register(
     "q2_column_profile",
     "column:s type:s missing:i missing_pct:2 n_unique:i",
-    lambda ws: quality.column_profile(ws.dirty_standard.select(*_PROFILE)),
+    lambda ws: quality.column_profile(ws.dirty_stored.lines.select(*_PROFILE)),
     DIRTY,
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{'double' if c in ('quantity', 'unit_price', 'discount') else 'string'}' AS type,
@@ -609,7 +683,7 @@ register(
 register(
     "q6_line_facts",
     "rows:i return_share:6 missing_customer_id:6 missing_unit_price:8 missing_date:6",
-    lambda ws: quality.line_facts(ws.dirty_standard),
+    lambda ws: quality.facts_row(ws.spark, ws.dirty_stored.facts),
     DIRTY,
     """SELECT count(*) AS rows, avg(CAST(is_return AS INT)) AS return_share,
          100.0 * avg(CAST(customer_id IS NULL AS INT)) AS missing_customer_id,

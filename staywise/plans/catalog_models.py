@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, cluster, explain, models, orders as ordering, quality, standardize
 from ..session import shared_folder, stage
 from ..sources import star
-from .checks_sql import O, SEGMENTED, features
+from .checks_sql import CLEAN, O, SEGMENTED, features
 from .registry import register
 from .run_folder import RunFolder
 
@@ -229,7 +229,6 @@ register(
 def _report(ws):
     """Validation of the lines with injected defects: every check with its level."""
     standard = standardize.standardize(ws.dirty, star.DIRTY_LINES)
-    standard.lines = stage(standard.lines, "standard-lines")
     cleaned = cleaning.clean(standard, star.DIRTY_LINES)
     orders = ordering.build_orders(cleaned.lines)
     return quality.validate("dirty", star.DIRTY_LINES, standard, cleaned, orders).checks_table(ws.spark)
@@ -244,5 +243,47 @@ def _events_report(ws):
     return quality.validate("events", cfg, standard, cleaned, orders).checks_table(ws.spark)
 
 
-register("q14_validation_report", "position:i level:s title:s detail:s", _report)
-register("q11_history_check", "position:i level:s title:s detail:s", _events_report)
+_FOUND = "SELECT row_number() OVER (ORDER BY ord) - 1 AS position, level, title, detail FROM found"
+_MAPPED = lambda fields: " UNION ALL ".join(
+    f"SELECT {i} AS ord, 'ok' AS level, '{name} is mapped' AS title, 'from {column}' AS detail" for i, (name, column) in enumerate(fields)
+)
+_WINDOW = """gap AS (SELECT date_diff('day', lag(d) OVER (PARTITION BY customer_id ORDER BY d), d) AS gap FROM days),
+ q AS (SELECT quantile_cont(gap, 0.95) AS q FROM gap),
+ w AS (SELECT q, CAST(least(greatest(ceil(q / 15) * 15, 30), 180) AS INTEGER) AS w FROM q),
+ cuts AS (SELECT a, b, w, CAST(floor((date_diff('day', a, b) - 3 * w - 120) / 30) + 1 AS BIGINT) AS n FROM span, w)"""
+_LIMITS = """SELECT 20, 'warn', format('The gaps ask for {:.0f} days; the limits 30 to 180 make it {}', q, w), '' FROM w WHERE q > 180 OR q < 15"""
+_HISTORY = """SELECT 21, 'ok', 'History suffices for a split in time', n || ' cut-offs to train on' FROM cuts WHERE n >= 3
+  UNION ALL SELECT 22, 'error', 'Not enough history', format('The dataset contains only {:.0f} months of history ({} -> {}). About {:.0f} '
+    || 'months are needed for a churn horizon of {} days (120 days of observation, 3 training cut-offs and three consecutive windows). '
+    || 'Provide more history or set analysis.churn_window_days.', date_diff('day', a, b) / 30.4, strftime(a, '%Y-%m-%d'),
+    strftime(b, '%Y-%m-%d'), (180 + 3 * w) / 30.4, w) FROM cuts WHERE n < 3"""
+_UNKNOWN = """SELECT 10, 'warn', 'No registration date', 'the first purchase stands in for it'
+  UNION ALL SELECT 11, 'warn', 'No demographics', 'tables by age, gender and place are left out'"""
+
+register(
+    "q14_validation_report",
+    "position:i level:s title:s detail:s",
+    _report,
+    CLEAN
+    + f""", days AS (SELECT DISTINCT customer_id, d FROM (
+     SELECT min(customer_id) AS customer_id, min(date) AS d FROM clean WHERE NOT is_return GROUP BY order_id)),
+ span AS (SELECT min(date) AS a, max(date) AS b FROM clean), {_WINDOW},
+ bad AS (SELECT count(*) FILTER (px IS NOT NULL AND unit_price IS NULL) AS n FROM std),
+ found AS ({_MAPPED([("customer_id", "cust"), ("order_id", "inv"), ("date", "dt"), ("quantity", "qty"), ("unit_price", "px")])}
+  UNION ALL {_UNKNOWN}
+  UNION ALL SELECT 12, 'warn', n || ' non-numeric texts stand where a quantity or price should be; they count as missing.', '' FROM bad WHERE n > 0
+  UNION ALL {_LIMITS} UNION ALL {_HISTORY})""",
+    _FOUND,
+)
+register(
+    "q11_history_check",
+    "position:i level:s title:s detail:s",
+    _events_report,
+    f"""bought AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase' AND value > 0),
+ days AS (SELECT DISTINCT * FROM bought), span AS (SELECT min(d) AS a, max(d) AS b FROM bought), {_WINDOW},
+ found AS ({_MAPPED([("customer_id", "user_id"), ("order_id", "event_id"), ("date", "ts"), ("quantity", "units"), ("unit_price", "value")])}
+  UNION ALL SELECT 5 + i, 'warn', 'No ' || name, 'features that need it are left out'
+    FROM (VALUES (0, 'discount'), (1, 'category'), (2, 'product_id'), (3, 'payment_method')) AS missing(i, name)
+  UNION ALL {_UNKNOWN} UNION ALL {_LIMITS} UNION ALL {_HISTORY})""",
+    _FOUND,
+)

@@ -52,9 +52,7 @@ def _run(spark, cfg, out, inputs, customers, returns, validate_only, settings):
     customers_raw = customers if customers is not None else customers_raw
     returns_raw = returns if returns is not None else returns_raw
 
-    standard = standardize.standardize(raw, cfg, customers_raw, returns_raw)
-    standard.lines = out.write("standardized_lines", standard.lines)
-    standard.customers = out.write("standardized_customers", standard.customers)
+    standard = standardize.standardize(raw, cfg, customers_raw, returns_raw, write=lambda df, name: out.write(name, df))
     cleaned = cleaning.clean(standard, cfg)
     buckets = bucket_count(cleaned.account["rows_out"])
     lines = out.write("transactions_clean", cleaned.lines, key="customer_id", buckets=buckets, order=["date"])
@@ -224,7 +222,7 @@ def _clusters(out, segmented, cfg, settings):
         return none, {"ran": False, "reason": reason}
     seed = cfg["modeling"]["seed"]
     data = out.write("cluster_inputs", cluster.vectors(cluster.prepared_columns(segmented, usable), usable)).persist()
-    tried = cluster.evaluate_k(data, n, seed=seed, restarts=settings["restarts"], parallel=settings["parallel"])
+    tried = cluster.evaluate_k(data, n, seed=seed, restarts=settings["restarts"])
     k = cluster.choose_k(tried)
     model = cluster.fit_kmeans(data, k, seed, settings["final_restarts"])
     labels = model.transform(data).select("customer_id", "cluster")

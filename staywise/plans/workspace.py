@@ -234,5 +234,14 @@ class Workspace:
     dirty_available = {**available, "payment_method": True}
 
     @cached_property
+    def dirty_stored(self):
+        """The standardised lines as a run has them: mapped, filtered, counted and written in one pass."""
+        return standardize.standardize(self.dirty, star.DIRTY_LINES)
+
+    @cached_property
+    def dirty_account(self):
+        return cleaning.graded_with_account(self.dirty_stored.lines, star.DIRTY_LINES, self.dirty_available)
+
+    @property
     def dirty_graded(self):
-        return cleaning.grade_lines(self.dirty_standard, star.DIRTY_LINES, self.dirty_available)
+        return self.dirty_account[0]

@@ -61,12 +61,17 @@ def remove(spark, path):
         store.delete_dir(inner)
 
 
+def observed(df, **metrics):
+    """(``df`` that counts ``metrics`` (name = aggregate) when it is next written, a function that then gives them as a dictionary)."""
+    seen = Observation(uuid.uuid4().hex)
+    return df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), lambda: dict(seen.get)
+
+
 def staged_observed(df, label, **metrics):
-    """``stage`` that also takes metrics (name = aggregate) while writing: (table, values). No second scan."""
-    spark = df.sparkSession
-    seen = Observation(f"{label}-{uuid.uuid4().hex[:12]}")
-    table = stage(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), label)
-    return table, seen.get
+    """``stage`` that also takes metrics while writing: (table, values). No second scan."""
+    counting, values = observed(df, **metrics)
+    table = stage(counting, label)
+    return table, values()
 
 
 def checkpointed(df):

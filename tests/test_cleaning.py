@@ -101,3 +101,59 @@ def test_one_row_copied_into_a_third_of_the_table(spark):
     )
     out = cleaning.clean(standardize.standardize(many, CFG), CFG)
     assert out.account["removed_by_reason"] == {cleaning.DUPLICATE: 9_999} and out.account["rows_out"] == 20_001
+
+
+def test_kept_duplicates_have_ids_of_their_own(spark):
+    cfg = with_defaults({**CFG, "cleaning": {"drop_exact_duplicates": False}})
+    raw = spark.createDataFrame([*GOOD, GOOD[0], GOOD[0]], "c string, o string, d string, p string, k string, q string, u string, x string")
+    lines = standardize.standardize(raw, cfg).lines
+    assert lines.count() == 10 == lines.select("transaction_id").distinct().count()
+    out = cleaning.clean(standardize.standardize(raw, cfg), cfg)
+    assert out.lines.count() == 10 and out.account["rows_in"] == out.account["rows_out"] == 10
+
+
+def test_of_repeated_customers_the_row_that_knows_more_stays(spark):
+    rows = [("a", None, "30", "f", "X"), ("a", "2020-05-01", None, None, None), ("b", "2020-01-01", None, "m", "Y"), ("b", "2020-01-01", "40", None, None)]
+    people = spark.createDataFrame(rows, "customer_id string, customer_registration_date string, customer_age string, customer_gender string, customer_location string")
+    kept = {r["customer_id"]: r for r in cleaning.one_row_per_customer(people, {}).collect()}
+    assert str(kept["a"]["customer_registration_date"]) == "2020-05-01" and kept["a"]["customer_age"] is None
+    assert kept["b"]["customer_age"] == "40" and kept["b"]["customer_gender"] is None
+
+
+def test_median_prices_in_one_map_and_split(spark, monkeypatch):
+    prices = spark.range(4000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 'many' ELSE concat('p', id % 5) END AS product_id", "double(id % 977) + 0.25 AS unit_price", "true AS alive"
+    )
+    expected = {r[0]: r[1] for r in prices.groupBy("product_id").agg(F.expr("percentile(unit_price, 0.5)")).collect()}
+    assert {r["product_id"]: r["median"] for r in cleaning.median_prices(prices).collect()} == expected
+    monkeypatch.setattr(cleaning, "PRICES_IN_ONE_MAP", 500)
+    split = {r["product_id"]: r["median"] for r in cleaning.median_prices(prices).collect()}
+    assert {k: round(v, 9) for k, v in split.items()} == {k: round(v, 9) for k, v in expected.items()}
+
+
+def test_log_has_reasons_and_counts_from_the_write(spark):
+    rows = [*GOOD, _changed(c=None), _changed(k=" toys"), _changed(o="big", u="99999")]
+    out = _clean(spark, rows)
+    log = {r["issue"]: r for r in out.log.collect()}
+    assert all(r["decision"] and r["rationale"] for r in log.values())
+    assert log["No customer"]["rows_affected"] == 1 and log["Spellings of category merged"]["rows_affected"] == 1
+    assert log["Very large purchase"]["rows_affected"] == 1 and log["No registration date"]["rows_affected"] == 9
+    assert [str(d) for d in out.span] == ["2020-01-01", "2020-02-01"]
+
+
+def test_account_of_no_rows(spark):
+    raw = spark.createDataFrame([], "c string, o string, d string, p string, k string, q string, u string, x string")
+    standard = standardize.standardize(raw, CFG)
+    out = cleaning.clean(standard, CFG)
+    assert out.account["rows_in"] == out.account["rows_out"] == 0 and out.account["removed_by_reason"] == {}
+    assert standard.facts["rows"] == 0 and standard.facts["return_share"] is None
+
+
+def test_a_large_vocabulary_is_joined_with_the_missing_spread(spark, monkeypatch):
+    from staywise.functions import values
+
+    df = spark.createDataFrame([("Toys",), ("toys ",), ("Toys",), (None,), ("b",), (None,)], "category string").withColumn("n", F.monotonically_increasing_id())
+    small = sorted(map(str, values.unify_spelling(df, ["category"]).collect()))
+    monkeypatch.setattr(values, "SMALL_VOCABULARY", 0)
+    assert sorted(map(str, values.unify_spelling(df, ["category"]).collect())) == small
+    assert values.stored_spellings(df, ["category"])[2] == {"category": 1}

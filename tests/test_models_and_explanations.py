@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import FOLDER
-from staywise.operators import cluster, evaluate, explain, features as feats, models, value
+from staywise.operators import cluster, evaluate, explain, features as feats, many_kmeans, models, value
 from staywise.plans.workspace import workspace
 
 USED = ["recency_days", "frequency", "monetary", "gap_std_days", "orders_90d"]
@@ -150,3 +150,52 @@ def test_small_tables_are_not_clustered(ws):
 def test_selected_features_cover_the_bound_data(ws):
     used, excluded = feats.select_features(ws.split("train"), ws.available)
     assert list(excluded) == ["days_since_registration"] and len(used) == 24
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(m, 1, (150, 3)) for m in (0, 6, -7)])
+    return points, spark.createDataFrame([(str(i), Vectors.dense(x)) for i, x in enumerate(points)], ["customer_id", "vector"]).repartition(5)
+
+
+def test_many_fits_are_as_good_as_single_ones(spark, blobs):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    _, data = blobs
+    scored = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
+    for k, inertia, silhouette in cluster.evaluate_k(data, 450, ks=(2, 3, 5), restarts=30):
+        single = min((KMeans(k=k, seed=s, featuresCol="vector", predictionCol="cluster").fit(data) for s in range(6)), key=lambda m: m.summary.trainingCost)
+        assert inertia <= single.summary.trainingCost * 1.01
+        if k == 3:
+            assert abs(inertia - single.summary.trainingCost) < 1e-6 * inertia
+            assert abs(silhouette - scored.evaluate(single.transform(data))) < 1e-9
+
+
+def test_passes_equal_plain_kmeans(blobs):
+    points, data = blobs
+    fit = many_kmeans.fit_many(data, [(3, 1), (4, 9)])[1]
+    near = many_kmeans._distances(points, fit.centres).argmin(axis=1)
+    assert abs(fit.cost - ((points - fit.centres[near]) ** 2).sum()) < 1e-6
+    for c in range(4):
+        assert np.allclose(points[near == c].mean(axis=0), fit.centres[c], atol=1e-3)
+    got = {int(r["customer_id"]): r["cluster"] for r in fit.transform(data).collect()}
+    assert [got[i] for i in range(450)] == near.tolist()
+
+
+def test_fits_do_not_depend_on_partitions_and_bear_few_points(spark, blobs):
+    _, data = blobs
+    a, b = (many_kmeans.fit_many(d, [(3, 5)])[0] for d in (data, data.coalesce(1)))
+    assert np.allclose(a.centres, b.centres)
+    same = data.limit(1).crossJoin(spark.range(5)).drop("id")
+    fit = many_kmeans.fit_many(same, [(3, 1)])[0]
+    assert fit.cost < 1e-9 and fit.centres.shape == (3, 3)
+    with pytest.raises(ValueError, match="no points"):
+        many_kmeans.fit_many(data.where("false"), [(2, 1)])
+
+
+def test_stability_of_clear_clusters(blobs):
+    assert cluster.stability(blobs[1], 3, restarts=2) > 0.999
