@@ -14,7 +14,7 @@ from . import (
     token_counts,
     url_filter,
 )
-from .tables import read
+from .tables import read, stage
 
 
 def op1_suffix_array_dedup(spark, folder):
@@ -38,7 +38,7 @@ def op5_best_two_fit(spark, folder):
 
 
 def op6_length_histogram(spark, folder):
-    return token_counts.context_table(token_counts.length_histogram(read(spark, folder, "documents")))
+    return token_counts.context_table(stage(token_counts.length_histogram(read(spark, folder, "documents")), "lengths"))
 
 
 def op10_prefix_filtered_decontamination(spark, folder):
