@@ -65,7 +65,7 @@ def _bounds(distinct, key, buckets):
         steps = [i / buckets for i in range(1, buckets)]
         position = distinct.select(F.col(key).cast("double").alias("x"))
         inner = sorted(set(position.approxQuantile("x", steps, 0.25 / buckets)))
-    return [float("-inf"), *inner, float("inf")]
+    return [float("-inf"), *(inner or [0.0]), float("inf")]  # Bucketizer wants one boundary inside
 
 
 def percentile_rank() -> Column:
@@ -201,6 +201,22 @@ def global_quantiles(df, columns, quantiles):
     return {c: found.get(c, [None] * len(quantiles)) for c in columns}
 
 
+# --- ties that an edge cuts ----------------------------------------------------------------------------------------
+
+
+def numbered_ties(df, key, groups, order, name="position"):
+    """Rows of ``df`` whose ``key`` is one of a few, with their 1-based position in the whole order by ``key`` and, inside ties, ``order``.
+
+    ``groups``: rows of a ``cumdist`` table of bounded number. Only the rows of these ties are sorted, and a large tie over many tasks.
+    """
+    spark = df.sparkSession
+    table = spark.createDataFrame([(g["key"], g["n_before"]) for g in groups], "_key double, _before bigint")
+    smaller = spark.createDataFrame([(g["key"], sum(o["n"] for o in groups if o["key"] < g["key"])) for g in groups], "_key double, _skipped bigint")
+    mine = df.join(F.broadcast(table.join(F.broadcast(smaller), "_key")), F.col(key) == F.col("_key"))
+    numbered = global_row_number(mine, [F.col("_key"), *order], name)
+    return numbered.withColumn(name, F.col(name) - F.col("_skipped") + F.col("_before")).drop("_key", "_before", "_skipped")
+
+
 # --- positions -----------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ All ranking measures are aggregations over one row per distinct score with count
 """
 from pyspark.sql import Window, functions as F
 
-from ..functions.stats import average_rank, cumdist, global_quantiles, global_row_number
+from ..functions.stats import average_rank, cumdist, global_quantiles, numbered_ties
+from ..session import stage
 
 # Fixed values.
 RISK_ORDER = ["Low", "Medium", "High"]
@@ -145,17 +146,28 @@ def risk_table(df, t_low, t_high):
 
 
 def decile_lift(df, bins=10, tie_break="customer_id"):
-    """Groups of equal size by descending score (position order inside ties by id), with rate and lift."""
-    ranked = global_row_number(df.select(tie_break, "y", "p"), [F.col("p").desc(), F.col(tie_break)])
-    size = ranked.agg(F.count(F.lit(1))).scalar()
-    base = ranked.agg(F.avg(F.col("y").cast("double"))).scalar()
-    scaled = (F.col("position") - 1) * bins / F.greatest(F.col("size") - 1, F.lit(1))
-    decile = F.greatest(F.lit(1), F.ceil(scaled)).cast("bigint")
+    """Groups of equal size by descending score (position order inside ties by id), with rate and lift.
+
+    Ties count as one row; only those that the edge of a group cuts, fewer than ``bins``, are sorted by id.
+    """
+    scored = df.select(tie_break, F.col("y").cast("double").alias("y"), (-F.col("p").cast("double")).alias("down"))
+    ties = stage(cumdist(scored, "down", {"positive": F.col("y")}), "score-ties")
+    total = ties.agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).first()
+    if not total["n"]:
+        return df.sparkSession.createDataFrame([], "decile bigint, customers bigint, churn_rate double, lift double")
+    scaled = lambda position: (position - 1) * bins / F.lit(max(total["n"] - 1, 1))
+    decile = lambda position: F.greatest(F.lit(1), F.ceil(scaled(position))).cast("bigint")
+    placed = ties.select("key", "n", "n_before", "positive", decile(F.col("n_before") + 1).alias("decile"), decile(F.col("n_before") + F.col("n")).alias("last"))
+    cut = placed.where(F.col("decile") < F.col("last")).collect()  # at most one for each edge
+    parts = placed.where(F.col("decile") == F.col("last")).select("decile", "n", "positive")
+    if cut:
+        single = numbered_ties(scored, "down", cut, [F.col(tie_break)])
+        parts = parts.unionByName(single.select(decile(F.col("position")).alias("decile"), F.lit(1).cast("bigint").alias("n"), F.col("y").alias("positive")))
+    rate = F.col("positive") / F.col("customers")
     return (
-        ranked.withColumn("size", size)
-        .groupBy(decile.alias("decile"))
-        .agg(F.count(F.lit(1)).alias("customers"), F.avg(F.col("y").cast("double")).alias("churn_rate"))
-        .select("decile", "customers", "churn_rate", (F.col("churn_rate") / base).alias("lift"))
+        parts.groupBy("decile")
+        .agg(F.sum("n").alias("customers"), F.sum("positive").alias("positive"))
+        .select("decile", "customers", rate.alias("churn_rate"), (rate / F.lit(total["positive"] / total["n"])).alias("lift"))
     )
 
 

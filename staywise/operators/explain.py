@@ -3,12 +3,12 @@ import math
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import SparkSession, Window, functions as F
 
-from ..functions.stats import global_row_number
-from ..session import shared_folder
+from ..functions.stats import cumdist, global_row_number, numbered_ties
+from ..session import shared_folder, stage
 from . import models
 
 # Printf texts per feature; a trailing scale of 100 turns a fraction into percent.
@@ -54,9 +54,9 @@ def describe(feature):
 
 def contributions(model, df, features, background=None):
     """(table with ``customer_id``, the features and ``c_<feature>`` columns; base value). Base + sum = log-odds."""
-    if models.is_boosting(model):
-        return tree_contributions(model, df, features)
-    return linear_contributions(model, df, features, df if background is None else background)
+    background = df if background is None else background
+    explain_rows = tree_contributions if models.is_boosting(model) else linear_contributions
+    return explain_rows(model, df, features, background)
 
 
 def linear_contributions(model, df, features, background):
@@ -100,83 +100,133 @@ def _node(nodes, key):
 
 
 def _leaves(node, conditions):
-    """(value, {feature: [low, high, share of training rows that follow the path]}) for every leaf."""
+    """(value, {feature: (low, high)}) for every leaf: it pays its value to rows with all features in low < x <= high."""
     if "value" in node:
         yield node["value"], conditions
         return
     for side in ("left", "right"):
-        low, high, share = conditions.get(node["feature"], (-math.inf, math.inf, 1.0))
-        low, high = (low, min(high, node["threshold"])) if side == "left" else (max(low, node["threshold"]), high)
-        share *= node[side]["cover"] / node["cover"]
-        yield from _leaves(node[side], {**conditions, node["feature"]: (low, high, share)})
+        low, high = conditions.get(node["feature"], (-math.inf, math.inf))
+        bounds = (low, min(high, node["threshold"])) if side == "left" else (max(low, node["threshold"]), high)
+        yield from _leaves(node[side], {**conditions, node["feature"]: bounds})
 
 
-def shapley_of_path(shares):
-    """Shapley values of a path's features for each pattern of satisfied conditions: array (2^m, m).
+def path_kernel(m):
+    """Shapley values of a path of m conditions for every pair of patterns: array (own pattern, other's pattern, condition).
 
-    The path pays 1 when every condition holds; a feature outside the coalition passes with the share of training rows
-    that went this way. Coalition sizes are collected as the coefficients of a polynomial.
+    A row is compared with another one: a coalition takes the row's own features, the rest comes from the other. The path pays 1
+    when every condition holds. Conditions that only the row meets raise, those that only the other meets lower, and if one is met by
+    neither the path never pays.
     """
-    m = len(shares)
-    weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-    table = np.zeros((2**m, m))
-    for pattern in range(2**m):
-        holds = [float(pattern >> j & 1) for j in range(m)]
-        for i in range(m):
-            sizes = np.array([1.0])
+    kernel = np.zeros((2**m, 2**m, m))
+    for own in range(2**m):
+        for other in range(2**m):
+            if own | other != 2**m - 1:
+                continue
+            raising, lowering = own & ~other, other & ~own
+            a, b = raising.bit_count(), lowering.bit_count()
             for j in range(m):
-                if j != i:
-                    sizes = np.convolve(sizes, [shares[j], holds[j]])
-            table[pattern, i] = np.dot(sizes, weight) * (holds[i] - shares[i])
-    return table
+                if raising >> j & 1:
+                    kernel[own, other, j] = math.factorial(a - 1) * math.factorial(b) / math.factorial(a + b)
+                elif lowering >> j & 1:
+                    kernel[own, other, j] = -math.factorial(a) * math.factorial(b - 1) / math.factorial(a + b)
+    return kernel
 
 
-def tree_tables(model):
-    """Everything a task needs to explain rows: per leaf its conditions and its pattern table; and the base value."""
-    leaves, base = [], 0.0
+def path_list(model):
+    """(value in log-odds, features used, their bounds) of every leaf, and what leaves without conditions pay to all."""
+    paths, constant = [], 0.0
     for weight, root in _read_trees(model):
         for value, conditions in _leaves(root, {}):
-            used = sorted(conditions)
-            shares = [conditions[f][2] for f in used]
-            scaled = 2.0 * weight * value
-            base += scaled * math.prod(shares)
+            scaled, used = 2.0 * weight * value, sorted(conditions)
             if used:
-                bounds = [conditions[f][:2] for f in used]
-                leaves.append((used, bounds, scaled * shapley_of_path(shares)))
-    return leaves, base
+                paths.append((scaled, used, [conditions[f] for f in used]))
+            else:
+                constant += scaled
+    return paths, constant
 
 
-def explain_matrix(x, leaves):
+def _patterns(x, used, bounds):
+    """Which conditions of a path each row meets, as bits."""
+    pattern = np.zeros(len(x), dtype=np.int64)
+    for j, (feature, (low, high)) in enumerate(zip(used, bounds, strict=True)):
+        column = x[:, feature]
+        pattern |= ((column > low) & (column <= high)).astype(np.int64) << j
+    return pattern
+
+
+def _inputs(batch):
+    column = batch.column("inputs")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def background_shares(prepared, paths):
+    """For every path the share of background rows per pattern of met conditions.
+
+    One pass: a task counts patterns, Spark adds them up, and as many numbers reach the driver as the model has patterns.
+    """
+    begins = np.append(0, np.cumsum([2 ** len(used) for _, used, _ in paths])).astype(np.int64)
+    shared = prepared.sparkSession.sparkContext.broadcast(paths)
+
+    def count(batches):
+        total = np.zeros(begins[-1], np.int64)
+        for batch in batches:
+            x = _inputs(batch)
+            for k, (_, used, bounds) in enumerate(shared.value):
+                total[begins[k] : begins[k + 1]] += np.bincount(_patterns(x, used, bounds), minlength=2 ** len(used))
+        slots = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
+
+    found = np.zeros(begins[-1])
+    for r in prepared.select("inputs").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        found[r["slot"]] = r["n"]
+    parts = [found[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    return [p / max(p.sum(), 1.0) for p in parts]
+
+
+def tree_tables(paths, shares):
+    """Per path its features, bounds and the contributions of every pattern against the background; and the base value of the paths."""
+    kernels = {m: path_kernel(m) for m in {len(used) for _, used, _ in paths}}
+    tables = [
+        (used, bounds, value * np.einsum("xbj,b->xj", kernels[len(used)], share)) for (value, used, bounds), share in zip(paths, shares, strict=True)
+    ]
+    return tables, sum(value * share[-1] for (value, _, _), share in zip(paths, shares, strict=True))
+
+
+def explain_matrix(x, tables):
     """Contributions of each row (n, features)."""
     out = np.zeros(x.shape)
-    for used, bounds, table in leaves:
-        pattern = np.zeros(len(x), dtype=np.int64)
-        for j, (feature, (low, high)) in enumerate(zip(used, bounds)):
-            column = x[:, feature]
-            pattern |= ((column > low) & (column <= high)).astype(np.int64) << j
+    for used, bounds, table in tables:
+        pattern = _patterns(x, used, bounds)
         for j, feature in enumerate(used):
             out[:, feature] += table[pattern, j]
     return out
 
 
-def tree_contributions(model, df, features):
-    """Exact path-dependent Shapley values of the boosted trees in log-odds, Arrow batches of rows at a time."""
-    leaves, base = tree_tables(model)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+def tree_contributions(model, df, features, background):
+    """Exact interventional Shapley values of the boosted trees in log-odds, against all rows of ``background``.
+
+    A path's value for a row depends on the background only through how many of its rows meet which conditions, so those counts are taken
+    in one pass and the rows are explained in another, however large the background.
+    """
+
+    def prepared(table):
+        dated = table if "cutoff" in table.columns else table.withColumn("cutoff", F.lit(None).cast("date"))
+        return model.stages[1].transform(model.stages[0].transform(dated)).withColumn("inputs", vector_to_array("inputs"))
+
+    paths, constant = path_list(model)
+    tables, base = tree_tables(paths, background_shares(prepared(background), paths))
+    shared = df.sparkSession.sparkContext.broadcast(tables)
     names = [f"c_{f}" for f in features]
 
     def explain(batches):
         for batch in batches:
-            x = np.array(batch["inputs"].tolist(), dtype=float).reshape(len(batch), len(features))
-            found = pd.DataFrame(explain_matrix(x, shared.value), columns=names)
-            yield pd.concat([batch.drop(columns="inputs").reset_index(drop=True), found], axis=1)
+            found = explain_matrix(_inputs(batch), shared.value)
+            columns = [*(batch.column(c) for c in ("customer_id", *features)), *(pa.array(found[:, j]) for j in range(len(names)))]
+            yield pa.record_batch(columns, names=["customer_id", *features, *names])
 
-    with_cutoff = df if "cutoff" in df.columns else df.withColumn("cutoff", F.lit(None).cast("date"))
-    prepared = model.stages[1].transform(model.stages[0].transform(with_cutoff)).select(
-        "customer_id", *[F.col(f).cast("double").alias(f) for f in features], vector_to_array("inputs").alias("inputs")
-    )
+    rows = prepared(df).select("customer_id", *[F.col(f).cast("double").alias(f) for f in features], "inputs")
     schema = "customer_id string, " + ", ".join(f"{c} double" for c in [*features, *names])
-    return prepared.mapInPandas(explain, schema), base
+    return rows.mapInArrow(explain, schema), constant + base
 
 
 # --- texts -----------------------------------------------------------------------------------------------------------
@@ -278,9 +328,18 @@ def agreement(importance, permutation):
 
 
 def example_customers(scored, texts):
-    """The highest score and the one a tenth of the way up, with their factors."""
-    numbered = global_row_number(scored, ["p", "customer_id"])
-    n = numbered.count()
-    wanted = numbered.where(F.col("position").isin([n, n // 10 + 1]))
+    """The highest score and the one a tenth of the way up, with their factors; inside ties the order is by id.
+
+    The two positions are found among distinct scores; only the ties that hold them are sorted.
+    """
+    keyed = scored.withColumn("_p", F.col("p").cast("double"))
+    ties = stage(cumdist(keyed, "_p"), "example-ties")
+    n = ties.agg(F.sum("n")).first()[0] or 0
+    wanted = [n, n // 10 + 1]
+    holds = lambda position: (F.col("n_before") < position) & (F.lit(position) <= F.col("n_before") + F.col("n"))
+    groups = ties.where(holds(wanted[0]) | holds(wanted[1])).collect()  # two at most
+    if not groups:
+        return scored.withColumn("example", F.lit("")).join(texts, "customer_id").limit(0)
+    numbered = numbered_ties(keyed, "_p", groups, [F.col("customer_id")]).where(F.col("position").isin(wanted))
     label = F.when(F.col("position") == n, "highest risk").otherwise("low risk")
-    return wanted.withColumn("example", label).join(texts, "customer_id").drop("position")
+    return numbered.withColumn("example", label).join(texts, "customer_id").drop("position", "_p")

@@ -1,7 +1,7 @@
 """The chain of tables behind the registered queries, built from one folder of star-schema tables.
 
-Each table is a lazy DataFrame; the few that many queries share (features at the end of the data, snapshots, scored
-customers) are written once per session to the shared folder, as a run writes its result tables.
+Each table is a lazy DataFrame; the few that many queries share (activity, features at the end of the data, snapshots, scored
+customers) are written once per session and state of the folder to the shared folder, as a run writes its result tables.
 """
 from functools import cached_property
 
@@ -17,10 +17,22 @@ _spaces = {}
 
 
 def workspace(spark, folder):
+    """The chain over a folder as it is now: tables that changed since the last call start a new one."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _spaces:
-        _spaces[key] = Workspace(spark, folder)
-    return _spaces[key]
+    now = _contents(spark, folder)
+    if key not in _spaces or _spaces[key][0] != now:
+        _spaces[key] = now, Workspace(spark, folder)
+    return _spaces[key][1]
+
+
+_TABLES = ("nation", "customer", "part", "orders", "lineitem", "events")
+
+
+def _contents(spark, folder):
+    """Paths, sizes and times of the tables' files, from their listing alone."""
+    paths = [f"{folder.rstrip('/')}/{name}.parquet" for name in _TABLES]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return sorted(map(tuple, listed.select("path", "length", "modificationTime").collect()))
 
 
 class Workspace:

@@ -129,3 +129,18 @@ def test_staged_tables_go_with_their_scope(spark):
 def test_metrics_are_taken_while_writing(spark):
     table, seen = staged_observed(spark.range(1000).repartition(7), "m", rows=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
     assert seen == {"rows": 1000, "even": 500} and table.count() == 1000
+
+
+def test_changed_tables_start_a_new_chain(spark, folder):
+    import shutil
+
+    from staywise.plans.workspace import workspace
+
+    where = folder() + "/sf"
+    shutil.copytree("/root/testdata/sf0.001", where)
+    os.chmod(where, 0o755)
+    first = workspace(spark, where)
+    assert workspace(spark, where) is first
+    os.chmod(f"{where}/nation.parquet", 0o644)
+    os.utime(f"{where}/nation.parquet", (1, 1))
+    assert workspace(spark, where) is not first

@@ -59,19 +59,48 @@ def test_contributions_add_up_to_the_log_odds(ws, chosen, name):
 
 
 def test_path_values_equal_the_definition():
-    """Brute force over all orders in which features join, for every pattern of satisfied conditions."""
-    shares = [0.3, 0.6, 0.45]
-    table = explain.shapley_of_path(shares)
-    pays = lambda inside, holds: math.prod(holds[j] if j in inside else shares[j] for j in range(3))
-    for pattern in range(8):
-        holds = [float(pattern >> j & 1) for j in range(3)]
+    """Brute force over all orders in which a row's own features replace another's, for every pair of patterns."""
+    kernel = explain.path_kernel(3)
+    for own, other in itertools.product(range(8), repeat=2):
+        pays = lambda inside: float(all((own if j in inside else other) >> j & 1 for j in range(3)))
         expected = np.zeros(3)
         for order in itertools.permutations(range(3)):
             inside = set()
             for j in order:
-                expected[j] += (pays(inside | {j}, holds) - pays(inside, holds)) / 6
+                expected[j] += (pays(inside | {j}) - pays(inside)) / 6
                 inside.add(j)
-        assert np.allclose(table[pattern], expected)
+        assert np.allclose(kernel[own, other], expected)
+
+
+def test_tree_contributions_equal_all_coalitions_against_the_background(ws, chosen):
+    """Every subset of features taken from the row, the rest from each background row in turn."""
+    model, test = chosen.models[models.BOOSTING], ws.split("test")
+    paths, constant = explain.path_list(model)
+    prepared = lambda df: model.stages[1].transform(model.stages[0].transform(df)).select("customer_id", "inputs")
+    matrix = lambda df: {r["customer_id"]: r["inputs"].toArray() for r in prepared(df).collect()}
+    background = ws.split("validation")
+    others, rows = np.array(list(matrix(background).values())), matrix(test)
+
+    def value(z):
+        return constant + sum(v * np.all([(z[:, f] > a) & (z[:, f] <= b) for f, (a, b) in zip(used, bounds)], axis=0) for v, used, bounds in paths)
+
+    found, base = explain.contributions(model, test, USED, background)
+    assert abs(base - value(others).mean()) < 1e-9
+    n = len(USED)
+    for r in found.orderBy("customer_id").limit(6).collect():
+        x, worth = rows[r["customer_id"]], {}
+        for size in range(n + 1):
+            for subset in itertools.combinations(range(n), size):
+                z = others.copy()
+                z[:, list(subset)] = x[list(subset)]
+                worth[subset] = value(z).mean()
+        for j, feature in enumerate(USED):
+            rest = [k for k in range(n) if k != j]
+            expected = sum(
+                math.factorial(len(s)) * math.factorial(n - 1 - len(s)) / math.factorial(n) * (worth[tuple(sorted((*s, j)))] - worth[s])
+                for size in range(n) for s in itertools.combinations(rest, size)
+            )
+            assert abs(r[f"c_{feature}"] - expected) < 1e-9
 
 
 def test_saved_model_scores_the_same(ws, chosen, tmp_path):

@@ -73,3 +73,25 @@ def test_global_positions(skewed):
     got = stats.global_row_number(sdf, [F.col("v").desc_nulls_last(), "id"]).toPandas().sort_values("position")
     expected = pdf.sort_values(["v", "id"], ascending=[False, True], na_position="last")
     assert got.position.tolist() == list(range(1, 6001)) and got.id.tolist() == expected.id.tolist()
+
+
+def test_deciles_and_examples_with_ties_equal_a_full_sort(spark):
+    import random
+
+    from staywise.operators import evaluate, explain
+
+    rng = random.Random(2)
+    for levels, n in ((3, 200), (40, 333), (1000, 97), (1, 30)):
+        rows = [(f"c{rng.randrange(10**6)}-{i}", rng.randrange(2), rng.randrange(levels) / 7) for i in range(n)]
+        df = spark.createDataFrame(rows, "customer_id string, y int, p double").repartition(4)
+        ordered = sorted(rows, key=lambda r: (-r[2], r[0]))
+        expected = {}
+        for place, (_, y, _) in enumerate(ordered):
+            expected.setdefault(max(1, -(-(place * 10) // (n - 1))), []).append(y)
+        got = {r["decile"]: (r["customers"], round(r["churn_rate"], 9)) for r in evaluate.decile_lift(df).collect()}
+        assert got == {d: (len(v), round(sum(v) / len(v), 9)) for d, v in expected.items()}, levels
+        up = sorted(rows, key=lambda r: (r[2], r[0]))
+        texts = df.select("customer_id", F.lit("t").alias("text"))
+        found = {r["example"]: r["customer_id"] for r in explain.example_customers(df, texts).collect()}
+        assert found == {"highest risk": up[-1][0], "low risk": up[n // 10][0]}
+    assert evaluate.decile_lift(df.where("false")).count() == 0 and explain.example_customers(df.where("false"), texts).count() == 0
