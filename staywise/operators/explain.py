@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import SparkSession, Window, functions as F
 
-from ..functions.stats import cumdist, global_row_number, numbered_ties
+from ..functions.stats import cumdist, numbered_ties
 from ..session import shared_folder, stage
 from . import models
 
@@ -289,34 +289,57 @@ def _average_precision(scored, groups, buckets=1000):
     return steps.groupBy(*groups).agg(F.try_divide(F.sum("gain"), F.sum("pos")).alias("ap"))
 
 
-def permutation_importance(model, df, features, repeats=5, seed=42, target=models.TARGET):
-    """Drop in average precision when one feature is taken from another row; mean and deviation over repeats.
+DONOR_ROWS = 2048  # rows of a bucket on average
+
+
+def with_donors(df, features, repeats, seed, key=("customer_id", "cutoff")):
+    """Every row with ``donors``: for each repeat the features of another row, each row giving its values exactly once per repeat.
 
-    Rows are put in a random order once (seeded hash); a repeat takes the feature from the row a fixed number of places
-    further on, so every value is used exactly once. All features and repeats are scored in one pass.
+    Rows are dealt into buckets of bounded size and put in order there by a seeded digest of their key; the donor stands a fixed share of the
+    bucket further on, round the end. One exchange, no sort of all rows, and partitioning changes nothing.
+    """
+    buckets = max(1, -(-df.count() // DONOR_ROWS))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets
+    packed = df.groupBy(place.alias("_bucket")).agg(F.array_sort(F.collect_list(F.struct(digest.alias("_digest"), *df.columns))).alias("_rows"))
+    rows, size = F.col("_rows"), F.size("_rows")
+
+    def donor(i, repeat):
+        shift = F.greatest(F.lit(1), F.floor(size * repeat / (repeats + 1)))
+        row = F.element_at(rows, ((i + shift) % size + 1).cast("int"))
+        return F.struct(F.lit(repeat - 1).alias("repeat"), *[row[f].alias(f) for f in features])
+
+    placed = F.transform(
+        rows,
+        lambda row, i: F.struct(*[row[c].alias(c) for c in df.columns], F.array(*[donor(i, r) for r in range(1, repeats + 1)]).alias("donors")),
+    )
+    return packed.select(F.inline(placed))
+
+
+def importance_by_permutation(score, df, features, repeats=5, seed=42, target=models.TARGET):
+    """Drop in average precision when one feature comes from a donor row; mean and deviation over repeats.
+
+    ``score(rows, keep)`` gives the columns ``keep`` and the probability ``p``. All features and repeats are scored in one pass, in which a row is
+    widened only between its donors and its score.
     """
     keep = df.select("customer_id", "cutoff", F.col(target).cast("bigint").alias("y"), *features)
-    numbered = global_row_number(keep, [F.xxhash64("customer_id", "cutoff", F.lit(seed)), "customer_id", "cutoff"])
-    n = numbered.count()
-    shifts = [max(1, n * r // (repeats + 1)) for r in range(1, repeats + 1)]
-    donors = numbered.select("position", F.struct(*features).alias("donor"))
-    shifted = numbered.withColumn(
-        "repeat", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("shift")) for i, s in enumerate(shifts)]))
-    ).withColumn("donor_position", (F.col("position") - 1 + F.col("repeat.shift")) % n + 1)
-    paired = shifted.join(donors.withColumnRenamed("position", "donor_position"), "donor_position")
-    exploded = paired.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    given = with_donors(keep, features, repeats, seed).withColumn("donor", F.explode("donors")).drop("donors")
+    each = given.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     swapped = [F.when(F.col("feature") == f, F.col(f"donor.{f}")).otherwise(F.col(f)).alias(f) for f in features]
-    variants = exploded.select("customer_id", "cutoff", "y", "feature", F.col("repeat.i").alias("repeat"), *swapped)
-    scored = models.probability(model, variants, ("feature", "repeat", "y"))
-    permuted = _average_precision(scored, ["feature", "repeat"])
-    whole = models.probability(model, keep, (F.lit("all").alias("feature"), "y"))
-    plain = _average_precision(whole, ["feature"]).select("ap").scalar()
+    variants = each.select("customer_id", "cutoff", "y", "feature", F.col("donor.repeat").alias("repeat"), *swapped)
+    permuted = _average_precision(score(variants, ("feature", "repeat", "y")), ["feature", "repeat"])
+    plain = _average_precision(score(keep, (F.lit("all").alias("feature"), "y")), ["feature"]).select("ap").scalar()
     drops = permuted.withColumn("drop", plain - F.col("ap"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("pr_auc_drop"), F.stddev_pop("drop").alias("std")).orderBy(
         F.col("pr_auc_drop").desc(), "feature"
     )
 
 
+def permutation_importance(model, df, features, repeats=5, seed=42, target=models.TARGET):
+    """``importance_by_permutation`` of a fitted model."""
+    return importance_by_permutation(lambda rows, keep: models.probability(model, rows, keep), df, features, repeats, seed, target)
+
+
 def agreement(importance, permutation):
     """The two rankings side by side: rank in each, feature by feature (one row per feature)."""
     ranked = lambda df, column, name: df.withColumn(

@@ -1,7 +1,7 @@
 """Registered queries on findings: what a run decides and says from its tables."""
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate, features as feats, orders as ordering, quality, reports, rfm
+from ..operators import cluster, evaluate, explain, features as feats, orders as ordering, quality, reports, rfm
 from .catalog_customers import _CL, _END
 from .checks_sql import O, OUTCOMES, SEGMENTED, SNAPSHOTS
 from .registry import register
@@ -61,9 +61,9 @@ register(
      two AS (SELECT a.rate AS own, a.w AS h, b.rate AS other, b.w AS near FROM rates a, rates b, h
              WHERE a.w = h.h AND b.w <> a.w ORDER BY abs(b.w - a.w), b.w LIMIT 1)""",
     """SELECT CASE WHEN abs(own - other) > 0.10 THEN 'warn' ELSE 'ok' END AS level,
-         CASE WHEN abs(own - other) > 0.10 THEN 'Churn rate changes a lot between neighbouring windows'
+         CASE WHEN abs(own - other) > 0.10 THEN 'The churn rate depends much on the window'
               ELSE 'Neighbouring windows agree on the churn rate' END AS title,
-         format('{:.0f}% at {} d vs {:.0f}% at {} d', 100 * own, h, 100 * other, near) AS detail FROM two""",
+         format('{} days: {:.0f}%, {} days: {:.0f}%', h, 100 * own, near, 100 * other) AS detail FROM two""",
 )
 
 
@@ -145,3 +145,29 @@ register(
         for c in _SUBSTITUTED
     ),
 )
+
+
+def _permuted_recency(ws):
+    """Importance of recency for the rule of thumb that a longer silence is riskier, on the test customers."""
+    silent = lambda rows, keep: rows.select(*keep, (F.col("recency_days") / F.lit(float(ws.window))).alias("p"))
+    return explain.importance_by_permutation(silent, ws.split("test"), ["recency_days"], repeats=3, seed=7)
+
+
+register(
+    "x7_permuted_recency",
+    "feature:s pr_auc_drop:6 std:6",
+    _permuted_recency,
+    SNAPSHOTS
+    + f""", ts AS (SELECT customer_id, churned AS y, recency_days AS x, md5(customer_id || '|' || strftime(cutoff, '%Y-%m-%d') || '|7') AS d
+                   FROM snap WHERE split = 'test'),
+     dealt AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / {explain.DONOR_ROWS}.0) AS BIGINT)) FROM ts) AS bucket FROM ts),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM dealt),
+     swapped AS (SELECT r, a.y, b.x FROM placed a, (VALUES (1), (2), (3)) AS rep(r), placed b
+                 WHERE a.bucket = b.bucket AND b.i = (a.i + greatest(1, CAST(floor(a.n * r / 4.0) AS BIGINT))) % a.n
+                 UNION ALL SELECT 0, y, x FROM ts),
+     pt AS (SELECT r, x, sum(y) AS pos, sum(sum(y)) OVER (PARTITION BY r ORDER BY x DESC) AS caught,
+                   sum(count(*)) OVER (PARTITION BY r ORDER BY x DESC) AS flagged, sum(sum(y)) OVER (PARTITION BY r) AS total FROM swapped GROUP BY r, x),
+     ap AS (SELECT r, sum(pos / total * (caught / flagged)) AS ap FROM pt GROUP BY r),
+     drops AS (SELECT (SELECT ap FROM ap WHERE r = 0) - ap AS lost FROM ap WHERE r > 0)""",
+    "SELECT 'recency_days' AS feature, avg(lost) AS pr_auc_drop, stddev_pop(lost) AS std FROM drops",
+)

@@ -121,6 +121,21 @@ def test_permutation_uses_every_value_once(ws, chosen):
     assert table.count() == 1 and table.first()["std"] >= 0
 
 
+def test_donors_are_a_shuffle_within_buckets(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("cast(id as string) AS customer_id", "date'2020-01-01' AS cutoff", "cast(id AS double) AS a", "id % 7 AS b")
+    for size in (2048, 60):
+        monkeypatch.setattr(explain, "DONOR_ROWS", size)
+        given = explain.with_donors(rows.repartition(3), ["a", "b"], 2, 1)
+        found = given.select("customer_id", "a", F.explode("donors").alias("d")).collect()
+        for repeat in (0, 1):
+            mine = {r["customer_id"]: r["d"] for r in found if r["d"]["repeat"] == repeat}
+            assert sorted(d["a"] for d in mine.values()) == [float(i) for i in range(500)]
+            assert all(d["a"] != float(c) and d["b"] == d["a"] % 7 for c, d in mine.items())
+        again = explain.with_donors(rows.coalesce(1), ["a", "b"], 2, 1)
+        assert sorted(map(str, again.collect())) == sorted(map(str, given.collect()))
+    assert explain.with_donors(rows.where("false"), ["a"], 2, 1).count() == 0
+
+
 def test_scores_of_lapsed_customers_stay_empty(ws, chosen):
     scored = models.score_customers(chosen.best, ws.segmented, 0.2, 0.8)
     assert scored.where("status = 'Lapsed' and (churn_prob is not null or risk_level <> 'Lapsed')").count() == 0
