@@ -100,7 +100,7 @@ def _node(nodes, key):
 
 
 def _leaves(node, conditions):
-    """(value, {feature: (low, high)}) for every leaf: it pays its value to rows with all features in low < x <= high."""
+    """(value, {column: (low, high)}) for every leaf: it pays its value to rows with all columns in low < x <= high."""
     if "value" in node:
         yield node["value"], conditions
         return
@@ -132,25 +132,34 @@ def path_kernel(m):
     return kernel
 
 
-def path_list(model):
-    """(value in log-odds, features used, their bounds) of every leaf, and what leaves without conditions pay to all."""
+def path_list(model, features):
+    """(value in log-odds, features used, per feature its conditions) of every leaf, and what leaves without conditions pay to all.
+
+    A condition is (column, low, high). Columns of one feature belong together: it meets its condition if all of them hold.
+    """
+    owner = models.boosting_features(model, features)
     paths, constant = [], 0.0
     for weight, root in _read_trees(model):
         for value, conditions in _leaves(root, {}):
-            scaled, used = 2.0 * weight * value, sorted(conditions)
+            by_feature = {}
+            for column, (low, high) in sorted(conditions.items()):
+                by_feature.setdefault(owner[column], []).append((column, low, high))
+            scaled, used = 2.0 * weight * value, sorted(by_feature)
             if used:
-                paths.append((scaled, used, [conditions[f] for f in used]))
+                paths.append((scaled, used, [by_feature[f] for f in used]))
             else:
                 constant += scaled
     return paths, constant
 
 
-def _patterns(x, used, bounds):
-    """Which conditions of a path each row meets, as bits."""
+def _patterns(x, conditions):
+    """Which features meet their conditions in each row, as bits."""
     pattern = np.zeros(len(x), dtype=np.int64)
-    for j, (feature, (low, high)) in enumerate(zip(used, bounds, strict=True)):
-        column = x[:, feature]
-        pattern |= ((column > low) & (column <= high)).astype(np.int64) << j
+    for j, of_feature in enumerate(conditions):
+        met = np.ones(len(x), bool)
+        for column, low, high in of_feature:
+            met &= (x[:, column] > low) & (x[:, column] <= high)
+        pattern |= met.astype(np.int64) << j
     return pattern
 
 
@@ -171,8 +180,8 @@ def background_shares(prepared, paths):
         total = np.zeros(begins[-1], np.int64)
         for batch in batches:
             x = _inputs(batch)
-            for k, (_, used, bounds) in enumerate(shared.value):
-                total[begins[k] : begins[k + 1]] += np.bincount(_patterns(x, used, bounds), minlength=2 ** len(used))
+            for k, (_, used, conditions) in enumerate(shared.value):
+                total[begins[k] : begins[k + 1]] += np.bincount(_patterns(x, conditions), minlength=2 ** len(used))
         slots = np.flatnonzero(total)
         yield pa.record_batch([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
 
@@ -184,19 +193,20 @@ def background_shares(prepared, paths):
 
 
 def tree_tables(paths, shares):
-    """Per path its features, bounds and the contributions of every pattern against the background; and the base value of the paths."""
+    """Per path its features, conditions and the contributions of every pattern against the background; and the base value of the paths."""
     kernels = {m: path_kernel(m) for m in {len(used) for _, used, _ in paths}}
     tables = [
-        (used, bounds, value * np.einsum("xbj,b->xj", kernels[len(used)], share)) for (value, used, bounds), share in zip(paths, shares, strict=True)
+        (used, conditions, value * np.einsum("xbj,b->xj", kernels[len(used)], share))
+        for (value, used, conditions), share in zip(paths, shares, strict=True)
     ]
     return tables, sum(value * share[-1] for (value, _, _), share in zip(paths, shares, strict=True))
 
 
-def explain_matrix(x, tables):
+def explain_matrix(x, tables, n_features):
     """Contributions of each row (n, features)."""
-    out = np.zeros(x.shape)
-    for used, bounds, table in tables:
-        pattern = _patterns(x, used, bounds)
+    out = np.zeros((len(x), n_features))
+    for used, conditions, table in tables:
+        pattern = _patterns(x, conditions)
         for j, feature in enumerate(used):
             out[:, feature] += table[pattern, j]
     return out
@@ -213,14 +223,14 @@ def tree_contributions(model, df, features, background):
         dated = table if "cutoff" in table.columns else table.withColumn("cutoff", F.lit(None).cast("date"))
         return model.stages[1].transform(model.stages[0].transform(dated)).withColumn("inputs", vector_to_array("inputs"))
 
-    paths, constant = path_list(model)
+    paths, constant = path_list(model, features)
     tables, base = tree_tables(paths, background_shares(prepared(background), paths))
     shared = df.sparkSession.sparkContext.broadcast(tables)
     names = [f"c_{f}" for f in features]
 
     def explain(batches):
         for batch in batches:
-            found = explain_matrix(_inputs(batch), shared.value)
+            found = explain_matrix(_inputs(batch), shared.value, len(names))
             columns = [*(batch.column(c) for c in ("customer_id", *features)), *(pa.array(found[:, j]) for j in range(len(names)))]
             yield pa.record_batch(columns, names=["customer_id", *features, *names])
 

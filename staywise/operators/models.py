@@ -75,13 +75,17 @@ def logistic_pipeline(train, features, inverse_penalty=INVERSE_PENALTY, target=T
 
 
 def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUNDS, seed=42, target=TARGET, early_stopping=True):
-    """Gradient-boosted trees. Missing values sit below every real value, so one split separates them.
+    """Gradient-boosted trees; every split learns the side of missing values.
 
-    With ``early_stopping`` a tenth of train (chosen by hash) stops the boosting when it no longer helps, whatever the size.
+    A feature with missing values in train enters twice: ``x_`` puts them below every real value, ``h_`` above. A split on the first sends them
+    left, on the second right, so choosing between the two is choosing their side. With ``early_stopping`` a tenth of train (chosen
+    by hash) stops the boosting when it no longer helps, whatever the size.
     """
-    row = train.agg(F.count(F.lit(1)).alias("_n"), *[F.min(f).alias(f) for f in features]).first()
-    low = {f: (row[f] if row[f] is not None else 0.0) - 1.0 for f in features}
-    filled = [f"coalesce(cast({f} as double), {_number(low[f])}) as x_{f}" for f in features]
+    ends = [F.count(F.lit(1)).alias("_n"), *[m(f).alias(f"{p}_{f}") for f in features for p, m in (("n", F.count), ("low", F.min), ("high", F.max))]]
+    row = train.agg(*ends).first()
+    end = lambda f, side, step: (row[f"{side}_{f}"] if row[f"{side}_{f}"] is not None else 0.0) + step
+    filled = {f"x_{f}": f"coalesce(cast({f} as double), {_number(end(f, 'low', -1.0))})" for f in features}
+    filled |= {f"h_{f}": f"coalesce(cast({f} as double), {_number(end(f, 'high', 1.0))})" for f in features if 0 < row[f"n_{f}"] < row["_n"]}
     classifier = GBTClassifier(
         featuresCol="inputs",
         labelCol=target,
@@ -97,8 +101,8 @@ def boosting_pipeline(train, features, rate=0.05, depth=4, leaf=80, rounds=ROUND
     held_out = "pmod(xxhash64(customer_id, cutoff), 10) = 0 as held_out" if "cutoff" in train.columns else "false as held_out"
     return Pipeline(
         stages=[
-            SQLTransformer(statement=f"SELECT *, {', '.join(filled)}, {held_out} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"x_{f}" for f in features], outputCol="inputs"),
+            SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} as {c}' for c, e in filled.items())}, {held_out} FROM __THIS__"),
+            VectorAssembler(inputCols=list(filled), outputCol="inputs"),
             classifier,
         ]
     )
@@ -108,6 +112,11 @@ def is_boosting(model):
     return hasattr(model.stages[-1], "treeWeights")
 
 
+def boosting_features(model, features):
+    """Number of the feature behind each input column of a boosted model."""
+    return [features.index(c.removeprefix("x_").removeprefix("h_")) for c in model.stages[1].getInputCols()]
+
+
 def probability(model, df, keep=("customer_id",)):
     """``keep`` columns and ``p``, the probability of churn.
 

@@ -75,14 +75,17 @@ def test_path_values_equal_the_definition():
 def test_tree_contributions_equal_all_coalitions_against_the_background(ws, chosen):
     """Every subset of features taken from the row, the rest from each background row in turn."""
     model, test = chosen.models[models.BOOSTING], ws.split("test")
-    paths, constant = explain.path_list(model)
+    paths, constant = explain.path_list(model, USED)
+    owner = np.array(models.boosting_features(model, USED))
+    assert len(owner) > len(USED)  # gap_std_days has missing values in train
     prepared = lambda df: model.stages[1].transform(model.stages[0].transform(df)).select("customer_id", "inputs")
     matrix = lambda df: {r["customer_id"]: r["inputs"].toArray() for r in prepared(df).collect()}
     background = ws.split("validation")
     others, rows = np.array(list(matrix(background).values())), matrix(test)
 
     def value(z):
-        return constant + sum(v * np.all([(z[:, f] > a) & (z[:, f] <= b) for f, (a, b) in zip(used, bounds)], axis=0) for v, used, bounds in paths)
+        flat = [(v, [c for of_feature in conditions for c in of_feature]) for v, _, conditions in paths]
+        return constant + sum(v * np.all([(z[:, f] > a) & (z[:, f] <= b) for f, a, b in conditions], axis=0) for v, conditions in flat)
 
     found, base = explain.contributions(model, test, USED, background)
     assert abs(base - value(others).mean()) < 1e-9
@@ -92,7 +95,8 @@ def test_tree_contributions_equal_all_coalitions_against_the_background(ws, chos
         for size in range(n + 1):
             for subset in itertools.combinations(range(n), size):
                 z = others.copy()
-                z[:, list(subset)] = x[list(subset)]
+                own = np.isin(owner, subset)
+                z[:, own] = x[own]
                 worth[subset] = value(z).mean()
         for j, feature in enumerate(USED):
             rest = [k for k in range(n) if k != j]
@@ -103,6 +107,17 @@ def test_tree_contributions_equal_all_coalitions_against_the_background(ws, chos
             assert abs(r[f"c_{feature}"] - expected) < 1e-9
 
 
+def test_a_split_learns_the_side_of_missing_values(spark):
+    """Missing values go with the high ones in one table and with the low ones in the other; one split separates both."""
+    for bad in ("v IS NULL OR v > 10", "v IS NULL OR v <= 10"):
+        rows = spark.range(400).selectExpr(
+            "cast(id AS string) AS customer_id", "date'2020-01-01' AS cutoff", "CASE WHEN id % 4 > 0 THEN double(id % 21) END AS v"
+        ).withColumn("churned", F.expr(f"cast(coalesce({bad}, false) AS int)"))
+        model = models.boosting_pipeline(rows, ["v"], 0.5, 1, 5, 3, early_stopping=False).fit(rows)
+        scored = models.outcomes(model, rows).agg(F.min(F.when(F.col("y") == 1, F.col("p"))), F.max(F.when(F.col("y") == 0, F.col("p")))).first()
+        assert scored[0] > 0.5 > scored[1], bad
+
+
 def test_saved_model_scores_the_same(ws, chosen, tmp_path):
     models.save(chosen.best, str(tmp_path / "m"))
     a = models.outcomes(chosen.best, ws.split("test")).orderBy("customer_id").collect()
