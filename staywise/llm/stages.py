@@ -27,17 +27,29 @@ def keep_one_per_group(spark, docs, sf_dir):
 
 
 def remove_repeated_bytes(spark, docs, sf_dir):
-    """Cuts every passage of 100 bytes or more that also starts earlier in the corpus out of the texts."""
+    """Cuts every passage of 100 bytes or more that also starts earlier in the corpus out of the texts.
+
+    Null texts stay null, shorter ones whole. Earlier is by id, null ids first, then by the text's hash; rows equal in id and text are one
+    document and are cut alike. Other columns stay, ``n_chars`` is counted anew. No rows give none.
+    """
     return suffix_dedup.cut_texts(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs.
+
+    Null and wordless texts hold none and stay. Rows are told apart by id and text, so a null or repeated id drops no other text; rows equal in both
+    go together. Without benchmark items or documents nothing is dropped.
+    """
     found = decontaminate.decontamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
     bad = small(stage(found.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")), "contaminated"), ["bad_key"])
     return docs.join(bad, same(docs["doc_id"], bad["bad_id"]) & (text_key(docs["text"]) == bad["bad_key"]), "left_anti")
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """Packs all documents into sequences of 2048 tokens."""
+    """Packs all documents into sequences of 2048 tokens.
+
+    Null and empty texts are one token, the end. Every row is packed for itself, whatever its id; ties of length may take any order. No rows
+    give no sequences.
+    """
     return packing.pack_documents(docs)
