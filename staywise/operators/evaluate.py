@@ -198,9 +198,11 @@ def calibration(df, bins=10):
 
 
 def rule_text(t_low, t_high, base_rate, min_lift=2.0, max_low_churn=0.15):
+    """The risk rule of a run in words; a threshold that no score reaches is said to be none."""
+    shown = lambda t: "no score" if t is None else f"{t:.2f}"
     tiers = {
-        "High": f"from {t_high:.2f} up, where validation churn reached {min_lift:g} times its base rate of {base_rate:.1%}",
-        "Low": f"up to {t_low:.2f}, where validation churn stayed within {max_low_churn:.0%}",
+        "High": f"from {shown(t_high)} up, where validation churn reached {min_lift:g} times its base rate of {base_rate:.1%}",
+        "Low": f"up to {shown(t_low)}, where validation churn stayed within {max_low_churn:.0%}",
         "Medium": "all between",
     }
     return "; ".join(f"{tier}: {where}" for tier, where in tiers.items())

@@ -97,8 +97,9 @@ register(
      cut AS (SELECT min(p) FILTER (caught / flagged >= r AND flagged >= size) AS t_high,
                     max(p) FILTER (pos_at_or_below / at_or_below <= 0.52 AND at_or_below >= size) AS t_low,
                     any_value(base) AS base FROM pg, need)""",
-    """SELECT format('High: from {:.2f} up, where validation churn reached 1.05 times its base rate of {:.1f}%; '
-         || 'Low: up to {:.2f}, where validation churn stayed within 52%; Medium: all between', t_high, 100 * base, t_low) AS rule FROM cut""",
+    """SELECT 'High: from ' || coalesce(format('{:.2f}', t_high), 'no score') || format(' up, where validation churn reached 1.05 times its '
+         || 'base rate of {:.1f}%; Low: up to ', 100 * base) || coalesce(format('{:.2f}', t_low), 'no score')
+         || ', where validation churn stayed within 52%; Medium: all between' AS rule FROM cut""",
 )
 
 

@@ -249,9 +249,13 @@ _MAPPED = lambda fields: " UNION ALL ".join(
 )
 _WINDOW = """gap AS (SELECT date_diff('day', lag(d) OVER (PARTITION BY customer_id ORDER BY d), d) AS gap FROM days),
  q AS (SELECT quantile_cont(gap, 0.95) AS q FROM gap),
- w AS (SELECT q, CAST(least(greatest(ceil(q / 15) * 15, 30), 180) AS INTEGER) AS w FROM q),
+ size AS (SELECT (SELECT count(DISTINCT customer_id) FROM days) AS buyers, (SELECT count(gap) FROM gap) AS gaps),
+ w AS (SELECT q, CAST(least(greatest(ceil(q / 15) * 15, 30), 180) AS INTEGER) AS w FROM q, size WHERE buyers >= 50 AND gaps >= 200),
  cuts AS (SELECT a, b, w, CAST(floor((date_diff('day', a, b) - 3 * w - 120) / 30) + 1 AS BIGINT) AS n FROM span, w)"""
-_LIMITS = """SELECT 20, 'warn', format('The gaps ask for {:.0f} days; the limits 30 to 180 make it {}', q, w), '' FROM w WHERE q > 180 OR q < 15"""
+_LIMITS = """SELECT 18, 'error', 'Too few customers', buyers || ' buyers, 50 are the least' FROM size WHERE buyers < 50
+  UNION ALL SELECT 19, 'error', 'Too few repeat orders for a churn window', gaps || ' gaps, 200 are the least; analysis.churn_window_days can give the window'
+    FROM size WHERE buyers >= 50 AND gaps < 200
+  UNION ALL SELECT 20, 'warn', format('The gaps ask for {:.0f} days; the limits 30 to 180 make it {}', q, w), '' FROM w WHERE q > 180 OR q < 15"""
 _HISTORY = """SELECT 21, 'ok', 'History suffices for a split in time', n || ' cut-offs to train on' FROM cuts WHERE n >= 3
   UNION ALL SELECT 22, 'error', 'Not enough history', format('The dataset contains only {:.0f} months of history ({} -> {}). About {:.0f} '
     || 'months are needed for a churn horizon of {} days (120 days of observation, 3 training cut-offs and three consecutive windows). '
