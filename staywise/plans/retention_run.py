@@ -80,6 +80,7 @@ def _run(spark, cfg, out, inputs, customers, returns, validate_only, settings):
 
     activity = out.write("customer_activity", feats.activity(lines), "grain")
     days = out.write("customer_days", feats.days_of(activity))
+    days = feats.spread(days, days.count())
     at_end = feats.with_registration(feats.features_from_states(feats.states_at(days, [end]), available), people)
     at_end = out.write("features_at_end", at_end.drop("next_order", "cutoff"))
     segmented = rfm.with_status(
