@@ -5,8 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import FOLDER
+from staywise import session
 from staywise.operators import reports
 from staywise.plans.run_folder import VALIDATION, RunFolder, finished_runs
+from staywise.plans.workspace import Workspace
 from staywise.session import shared_folder, stage, staged_observed, staging
 from staywise.sources.headers import first_record, header_records
 from staywise.sources.keyed import bucket_count, bucket_of, rows_of, write_keyed
@@ -144,3 +147,46 @@ def test_changed_tables_start_a_new_chain(spark, folder):
     os.chmod(f"{where}/nation.parquet", 0o644)
     os.utime(f"{where}/nation.parquet", (1, 1))
     assert workspace(spark, where) is not first
+
+
+@pytest.fixture()
+def settings(spark):
+    """The session's shuffle settings, put back afterwards."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    spark.conf.unset(names[1])
+    yield names
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_shuffle_partitions_follow_the_rows_and_own_settings_stay(spark, settings):
+    partitions, size, *_ = settings
+    spark.conf.set(partitions, 5)
+    session.size_shuffles(spark, 6 * session.ROWS_PER_PARTITION + 1)
+    assert (spark.conf.get(partitions), spark.conf.get(size)) == ("7", session.PARTITION_SIZE)
+    spark.conf.set(size, "1m")
+    session.size_shuffles(spark, 10)
+    assert (spark.conf.get(partitions), spark.conf.get(size)) == ("7", "1m")
+
+
+def test_joined_lines_of_more_rows_are_dealt_over_more_tasks(spark, settings, folder, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 50)
+    source, found = folder(), []
+    tables = {
+        "nation": "0 AS n_nationkey, 'N' AS n_name",
+        "customer": "id AS c_custkey, 0 AS c_nationkey",
+        "part": "id AS p_partkey, 'p' AS p_name, 't' AS p_type",
+        "orders": "id AS o_orderkey, id AS o_custkey, date'2020-01-01' AS o_orderdate",
+        "lineitem": "id AS l_orderkey, id AS l_partkey, 1 AS l_linenumber, 1D AS l_quantity, 2D AS l_extendedprice, 0D AS l_discount, 'N' AS l_returnflag",
+        "events": "id AS event_id",
+    }
+    for rows in (100, 500):
+        for name, columns in tables.items():
+            spark.range(1 if name == "nation" else rows).selectExpr(*columns.split(", ")).write.parquet(f"{source}/{rows}/{name}.parquet")
+        for name, value in zip(settings[0:1] + settings[2:], (2, "false", -1), strict=True):
+            spark.conf.set(name, value)
+        lines = Workspace(spark, f"{source}/{rows}").lines
+        found.append(lines.rdd.getNumPartitions())
+        assert lines.count() == rows and lines.agg(F.sum("transaction_value")).first()[0] == 2.0 * rows
+    assert found == [2, 10]
