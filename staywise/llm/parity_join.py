@@ -17,17 +17,19 @@ A text of fewer words than a shingle is one shingle; null, empty and wordless te
 rows and rows with the same id get a row each. No rows give none. Other columns are dropped.
 """
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytescan import Block, binary_values, in_row_windows, mix, slices, span_hashes, window_hashes
 from .components import components
-from .repeat_filter import limits_passed, repeat_filter
-from .tables import per_batch, same, small, stage, text_key
+from .repeat_filter import limits_passed, repeated, sized_filter
+from .tables import per_batch, small, stage, text_key
 
 BAND_GROWTH = 1.25
 SPARE_CELLS = 2
 ROWS_AT_ONCE = 1_000
+BYTES_AT_ONCE = 1 << 18
 MARK_BITS = 256
 OFTEN = (1, 3, 8, 24, 100, 1000)  # sets that share a cell: classes of the order of cells
 
@@ -35,7 +37,7 @@ OFTEN = (1, 3, 8, 24, 100, 1000)  # sets that share a cell: classes of the order
 def shingle_sets(values, width):
     """Sorted distinct shingle hashes of every text (list of bytes or None)."""
     out = []
-    for a, b in slices(values):
+    for a, b in slices(values, BYTES_AT_ONCE):
         block = Block(values[a:b], lower=True)
         starts, ends, first = block.words()
         words = span_hashes(block.codes, starts, ends)
@@ -104,71 +106,130 @@ def sketch(hashes, band, cells):
     return mix(parity + mix(np.arange(cells, dtype=np.uint64) + np.uint64(band << 32)))
 
 
-def sketches(docs, width, scheme):
-    """One row per row of ``docs``: id and text key, size and hash of its set, and the cells of its sketches one after the other."""
+def sized_sets(docs, width):
+    """One row per row of ``docs``: id and text key, hash of the row, size and hash of its set."""
 
     def build(batch):
-        ids, values, keys = batch.column(0).to_pylist(), binary_values(batch.column(1)), batch.column(2).to_pylist()
-        for a, b in slices(values):
+        ids, texts, keys, rows = batch.columns
+        values = binary_values(texts)
+        for a, b in slices(values, BYTES_AT_ONCE):
             sets = shingle_sets(values[a:b], width)
-            cells = [b"".join(sketch(s, band, p).tobytes() for band, p, _ in scheme.plan(len(s))) if len(s) else None for s in sets]
-            yield {"doc_id": ids[a:b], "tkey": keys[a:b], "n_shingles": [len(s) for s in sets], "e": [set_hash(s) for s in sets], "cells": cells}
+            known = {name: column.slice(a, b - a) for name, column in (("doc_id", ids), ("tkey", keys), ("h", rows))}
+            yield {**known, "n_shingles": [len(s) for s in sets], "e": [set_hash(s) for s in sets]}
 
-    return per_batch(docs.select("doc_id", "text", text_key(F.col("text"))), build, "doc_id long, tkey string, n_shingles long, e long, cells binary")
+    asked = docs.select("doc_id", "text", text_key(F.col("text")), _row_hash())
+    return per_batch(asked, build, "doc_id long, tkey string, h long, n_shingles long, e long")
 
 
-def cell_counts(sets):
-    """(key, n): cell values of all sketches, summed within batches only."""
+def _row_hash():
+    return F.xxhash64("doc_id", "text")
 
-    def count(batch):
-        for a in range(0, len(batch), ROWS_AT_ONCE):
-            cells = batch.column(0).slice(a, ROWS_AT_ONCE).to_pylist()
-            keys, n = np.unique(np.frombuffer(b"".join(cells), np.uint64), return_counts=True)
-            yield {"key": keys.view(np.int64), "n": n}
 
-    return per_batch(sets.select("cells"), count, "key long, n long")
+def hash_filter(hashes):
+    """A table of bits for ``hashes`` (key, all different), sent to all executors."""
+    keys = stage(hashes.select("key", F.lit(2).alias("n")), "hashes")
+    return hashes.sparkSession.sparkContext.broadcast(sized_filter(keys))
 
 
-def prefixes(sets, repeats, scheme):
-    """(key, e, n, own, marks): the cells by which each set joins, and how many and which cells of that sketch no other set has.
+def _marked(shared, column):
+    return limits_passed(shared.value, column.fill_null(0).to_numpy().view(np.uint64)) > 0
 
-    Those come first in the order and need no join; then cells of few sets before cells of many.
+
+def marked_rows(docs, hashes):
+    """``docs`` with ``may_be``: whether a row's hash may be among ``hashes`` (key, all different). Rows without it are surely not."""
+    shared, kept = hash_filter(hashes), docs.columns
+    schema = docs.withColumn("may_be", F.lit(True)).schema
+
+    def test(batches):
+        for batch in batches:
+            columns = [*batch.columns[: len(kept)], pa.array(_marked(shared, batch.column(len(kept))))]
+            yield pa.record_batch(columns, names=[*kept, "may_be"])
+
+    return docs.withColumn("row_hash", _row_hash()).mapInArrow(test, schema)
+
+
+def distinct_texts(docs, rows, width):
+    """(table, function): one text for each set of ``rows``, the sizes and hashes of the sets of ``docs``.
+
+    A set's text is read again where it has one row, stored where it has more; only the latter (and the few that a table of bits takes
+    for such) are shuffled. The table has (text, row_hash), the function gives the texts of a batch of it, without rows that are stored.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(repeats)  # fixed size
+    many = rows.where("e IS NOT NULL").groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e")
+    marked = hash_filter(rows.join(many, "e", "left_semi").select(F.col("h").alias("key")).distinct())
+
+    def hashed(batch):
+        values = binary_values(batch.column(0).filter(pa.array(_marked(marked, batch.column(1)))))
+        for a, b in slices(values, BYTES_AT_ONCE):
+            yield {"e": [set_hash(s) for s in shingle_sets(values[a:b], width)], "text": values[a:b]}
+
+    given = docs.select("text", _row_hash().alias("row_hash"))
+    again = per_batch(given, hashed, "e long, text binary").where("e IS NOT NULL")
+    stored = stage(again.groupBy("e").agg(F.first("text").cast("string").alias("text")).select("text"), "texts-met-again")
+
+    def values_of(batch):
+        stored = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        return binary_values(batch.column(0).filter(pa.array(stored | ~_marked(marked, batch.column(1)))))
+
+    return given.unionByName(stored.withColumn("row_hash", F.lit(None).cast("long"))), values_of
+
+
+def _sets(batch, values_of, width):
+    """The sets that have shingles, of a batch of ``distinct_texts``."""
+    for start in range(0, len(batch), ROWS_AT_ONCE):
+        values = values_of(batch.slice(start, ROWS_AT_ONCE))
+        for a, b in slices(values, BYTES_AT_ONCE):
+            yield from (s for s in shingle_sets(values[a:b], width) if len(s))
+
+
+def _sketched(batch, values_of, width, scheme):
+    """(set, [(cells of one sketch, prefix)]) of the sets that have shingles."""
+    for s in _sets(batch, values_of, width):
+        yield s, [(sketch(s, band, p), prefix) for band, p, prefix in scheme.plan(len(s))]
+
+
+def cell_counts(texts, values_of, width, scheme):
+    """(key, n): cell values that more than one sketch may have (cut, see ``repeated``); ``texts``, ``values_of``: see ``distinct_texts``."""
+
+    def keys(batch):
+        for _, cells in _sketched(batch, values_of, width, scheme):
+            yield from (c for c, _ in cells)
+
+    return repeated(texts, keys)
+
+
+def prefixes(texts, values_of, repeats, width, scheme):
+    """(e, n, band, own, marks, cells): the cells by which each set joins in a band, and how many and which cells of that sketch no other set has.
+
+    Those come first in the order and need no join; then cells of few sets before cells of many. Sketches without cells to join by are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(repeats)
 
     def choose(batch):
-        keys, owners, sizes, alone, marks = [np.zeros(0, np.uint64)], [], [], [], []
-        for e, n, cells in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            own, at = np.frombuffer(cells, np.uint64), 0
-            often = limits_passed(shared.value, own)
-            for _, p, prefix in scheme.plan(n):
-                part, rank = own[at : at + p], often[at : at + p]
-                at += p
+        out = {name: [] for name in ("e", "n", "band", "own", "marks", "cells")}
+        for s, cells in _sketched(batch, values_of, width, scheme):
+            for (part, prefix), (band, _, _) in zip(cells, scheme.plan(len(s)), strict=True):
+                rank = limits_passed(shared.value, part)
                 single = int((rank == 0).sum())
                 chosen = part[np.lexsort((part, rank))[single : max(single, prefix)]]
-                keys.append(chosen)
-                owners += [e] * len(chosen)
-                sizes += [n] * len(chosen)
-                alone += [single] * len(chosen)
                 folded = np.zeros(MARK_BITS, bool)
                 folded[np.flatnonzero(rank == 0) % MARK_BITS] = True
-                marks += [np.packbits(folded).view(np.int64).tolist()] * len(chosen)
-        yield {"key": np.concatenate(keys).view(np.int64), "e": owners, "n": sizes, "own": alone, "marks": marks}
+                found = (set_hash(s), len(s), band, single, np.packbits(folded).view(np.int64).tolist(), chosen.view(np.int64))
+                for column, value in zip(out.values(), found, strict=True):
+                    column.append(value)
+        yield out
 
-    return per_batch(sets.select("e", "n", "cells"), choose, "key long, e long, n long, own long, marks array<long>")
+    return per_batch(texts, choose, "e long, n long, band int, own long, marks array<long>, cells array<long>").where(F.size("cells") > 0)
 
 
-def sets_of(docs, wanted, width):
-    """(e, shingles) of the sets in ``wanted`` (e, rep), read again from the texts of their smallest documents."""
-    ids = small(stage(wanted.select("rep").distinct(), "wanted"), [])
-    chosen = docs.select("doc_id", "text").join(ids, same(F.col("doc_id"), F.col("rep")), "left_semi")
+def sets_of(texts, values_of, wanted, width):
+    """(e, shingles) of the sets in ``wanted`` (e, all different), read again from ``texts`` (see ``distinct_texts``); a few more that a table of bits takes for such."""
+    shared = hash_filter(wanted.select(F.col("e").alias("key")))
 
     def build(batch):
-        sets = shingle_sets(binary_values(batch.column(1)), width)
-        sums = [set_hash(s) for s in sets]
-        yield {"e": sums, "shingles": [s.tobytes() for s in sets]}
+        kept = [(e, s.tobytes()) for s in _sets(batch, values_of, width) if limits_passed(shared.value, np.array([e := set_hash(s)]).view(np.uint64))[0]]
+        yield {"e": [e for e, _ in kept], "shingles": [s for _, s in kept]}
 
-    return per_batch(chosen, build, "e long, shingles binary").where("e IS NOT NULL").dropDuplicates(["e"])
+    return per_batch(texts, build, "e long, shingles binary")
 
 
 def verified(pairs, shingles, scheme):
@@ -215,17 +276,17 @@ def jaccard_components(docs, width=3, num=90, den=100):
 
 
 def jaccard_groups(docs, width=3, num=90, den=100):
-    """``jaccard_components`` with ``first``: the smallest (doc_id, text key) reachable, null ids last."""
+    """``jaccard_components`` with ``first``: the smallest (doc_id, text key) reachable, null ids last, and the text key and hash of every row."""
     scheme = Scheme(num, den)
-    rows = stage(sketches(docs, width, scheme), "sketches")
-    sets = rows.where("e IS NOT NULL").groupBy("e").agg(
-        F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min(_identity()).alias("first"), F.first("cells").alias("cells")
-    )
-    sets = stage(sets, "sets")
-    keyed = prefixes(sets, repeat_filter(cell_counts(sets), OFTEN), scheme)
+    rows = stage(sized_sets(docs, width), "set-sizes")
+    sets = rows.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("rep"), F.min(_identity()).alias("first"))
+    texts = distinct_texts(docs, rows, width)
+    repeats = sized_filter(stage(cell_counts(*texts, width, scheme), "cells-repeated"), OFTEN)
+    chosen = stage(prefixes(*texts, repeats, width, scheme), "sketch-prefixes")
+    keyed = chosen.select("e", "n", "band", "own", F.explode("cells").alias("key"))
     of_key = Window.partitionBy("key")
     met = keyed.select(
-        *("key", "e", "n", "marks"),
+        *("key", "e", "n", "band"),
         F.min(F.struct("own", "e", "n")).over(of_key).alias("middle"),
         F.min(F.struct(F.lit(0).cast("long").alias("own"), "e", "n")).over(of_key).alias("low"),
         F.max("e").over(of_key).alias("high"),
@@ -234,23 +295,22 @@ def jaccard_groups(docs, width=3, num=90, den=100):
     ends = F.explode(F.array("middle", "low")).alias("end")
     first = met.select("e", "n", ends).where((F.col("e") != F.col("end.e")) & _sizes_fit(scheme, F.col("n"), F.col("end.n")))
     first = stage(first.select(F.least("e", "end.e").alias("a"), F.greatest("e", "end.e").alias("b")).distinct(), "first-pairs")
-    wanted = met.select("e").distinct().join(sets.select("e", "rep"), "e")
-    shingles = stage(sets_of(docs, wanted, width), "shingle-sets")
+    shingles = stage(sets_of(*texts, met.select("e").distinct(), width), "shingle-sets")
     links = stage(verified(first, shingles, scheme), "first-links")
     roots = stage(components(links), "first-components")
-    grouped = met.select("key", "e", "n", "marks").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
-    grouped = grouped.select("key", "e", "n", "marks", F.coalesce("root", "e").alias("root"))
+    grouped = met.select("key", "e", "n", "band").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
+    grouped = grouped.select("key", "e", "n", "band", F.coalesce("root", "e").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("key")
-    apart = stage(grouped.join(mixed, "key"), "cells-apart")
+    apart = stage(grouped.join(mixed, "key").join(chosen.select("e", "band", "marks"), ["e", "band"]), "cells-apart")
     x, y = apart.alias("x"), apart.alias("y")
     met_again = (F.col("x.key") == F.col("y.key")) & (F.col("x.e") < F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
     again = x.join(y, met_again & _sizes_fit(scheme, F.col("x.n"), F.col("y.n")) & _cells_fit(scheme))
     again = again.select(F.col("x.e").alias("a"), F.col("y.e").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(stage(again, "second-pairs"), shingles, scheme))
     roots = stage(components(links), "components")
-    reps = sets.select("e", "rep", "first").join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
+    reps = sets.join(roots.select(F.col("node").alias("e"), "root"), "e", "left")
     reps = reps.select("e", "rep", "first", F.coalesce("root", "e").alias("root"))
     smallest = reps.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
     of_set = stage(reps.select("e", "root").join(smallest, "root").select("e", "component_id", "first"), "set-components")
     component = F.coalesce("component_id", "doc_id").alias("component_id")
-    return rows.join(of_set, "e", "left").select("doc_id", "n_shingles", component, F.coalesce("first", _identity()).alias("first"))
+    return rows.join(of_set, "e", "left").select("doc_id", "n_shingles", component, F.coalesce("first", _identity()).alias("first"), "tkey", "h")

@@ -19,11 +19,16 @@ def keep_one_per_group(spark, docs, sf_dir):
 
     Documents are told apart by id and text, so other texts under a kept id go with their own group; of rows equal in both one stays.
     """
-    groups = parity_join.jaccard_groups(docs, width=5, num=8, den=10)
+    groups = stage(parity_join.jaccard_groups(docs, width=5, num=8, den=10), "groups")
     first = groups.select(F.col("first.doc_id").alias("kept_id"), F.col("first.tkey").alias("kept_key")).distinct()
-    keyed = docs.withColumn("kept_text_key", text_key(F.col("text")))
+    # most documents are met once and kept, so only the others are dealt out by their key
+    documents = groups.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.collect_set("h").alias("h"))
+    plain = (F.col("n") == 1) & same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
+    marked = parity_join.marked_rows(docs, documents.where(~plain).select(F.explode("h").alias("key")).distinct())
+    keyed = marked.where("may_be").withColumn("kept_text_key", text_key(F.col("text")))
     kept = keyed.join(first, same(F.col("doc_id"), F.col("kept_id")) & (F.col("kept_text_key") == F.col("kept_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "kept_text_key"]).drop("kept_text_key")
+    kept = kept.dropDuplicates(["doc_id", "kept_text_key"]).drop("kept_text_key")
+    return marked.where("NOT may_be").unionByName(kept).drop("may_be")
 
 
 def remove_repeated_bytes(spark, docs, sf_dir):

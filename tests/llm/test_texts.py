@@ -2,6 +2,8 @@
 import hashlib
 import math
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -9,9 +11,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from staywise.llm import bpe, bytescan, decontaminate, fertility, language_id, packing, parity_join, stages, suffix_dedup, suffix_tree_lm, token_counts
+from staywise.llm import bpe, bytescan, decontaminate, fertility, language_id, packing, parity_join, repeat_filter, stages, suffix_dedup, suffix_tree_lm, token_counts
 from staywise.llm.bwt import Shard, common_windows
 from staywise.llm.components import components
+from staywise.session import staging
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, e long"
@@ -115,6 +118,37 @@ def test_jaccard_components_of_odd_texts(odd, empty):
     assert parity_join.jaccard_components(odd.unionByName(odd)).count() == 2 * len(ODD)
 
 
+def test_repeated_keys(spark):
+    """Keys of 40 bits in blocks: those met twice or more in all, whatever block they stand in, in about three bytes each."""
+    keys = [*range(1, 3000), *range(1, 300), *range(1, 30), (1 << 40) - 1, (1 << 40) - 1]
+    df = spark.createDataFrame([(k << 24,) if k < 1 << 39 else ((k << 24) - (1 << 64),) for k in keys], "key long").repartition(5)
+    found = repeat_filter.repeated(df, lambda batch: [batch.column(0).to_numpy().view(np.uint64)])
+    found = {((r["key"] + (1 << 64)) % (1 << 64)) >> 24: r["n"] for r in found.collect()}
+    assert found == {k: n for k, n in Counter(keys).items() if n > 1}
+    assert repeat_filter.repeated(df.where("key = 0"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]).count() == 0
+
+
+def test_tables_of_bits_follow_the_number_of_keys(spark):
+    rng = np.random.default_rng(7)
+    keys, other = rng.integers(-(1 << 63), 1 << 63, 40_000), rng.integers(-(1 << 63), 1 << 63, 40_000)
+    stored = spark.createDataFrame([(int(k), 2 + 5 * (i % 2)) for i, k in enumerate(keys)], "key long, n long")
+    tables = repeat_filter.sized_filter(stored, (1, 3, 100))
+    assert [8 * len(t) for t in tables] == [1 << 20, 1 << 19, 1 << 16]
+    passed = repeat_filter.limits_passed(tables, keys.view(np.uint64))
+    assert (passed >= 1).all() and (passed[1::2] >= 2).all() and (passed[0::2] >= 2).mean() < 0.1
+    assert (repeat_filter.limits_passed(tables, other.view(np.uint64)) > 0).mean() < 0.15
+
+
+def test_sketches_are_not_stored(spark, docs, pairs, tmp_path):
+    """What the join writes stays below the texts; with the cells (8 bytes a shingle and more) it was nearly three times as much."""
+    with staging(spark) as scope:
+        found = by_id(parity_join.jaccard_groups(docs, 5, 8, 10), "component_id")
+        folder = Path(scope.removeprefix("file://"))
+        written = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+        assert {k: v[0] for k, v in found.items()} == {k: v[1] for k, v in brute.jaccard_components(pairs, 5, 8, 10).items()}
+    assert 0 < written < sum(len(t or "") for _, t in pairs)
+
+
 def test_large_group_of_near_copies(spark):
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(0, 120)] + [" ".join(base)]
