@@ -194,7 +194,7 @@ def cell_counts(texts, values_of, width, scheme):
         for _, cells in _sketched(batch, values_of, width, scheme):
             yield from (c for c, _ in cells)
 
-    return repeated(texts, keys)
+    return repeated(texts, keys, OFTEN[-1] + 1)
 
 
 def prefixes(texts, values_of, repeats, width, scheme):

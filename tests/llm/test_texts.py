@@ -122,10 +122,10 @@ def test_repeated_keys(spark):
     """Keys of 40 bits in blocks: those met twice or more in all, whatever block they stand in, in about three bytes each."""
     keys = [*range(1, 3000), *range(1, 300), *range(1, 30), (1 << 40) - 1, (1 << 40) - 1]
     df = spark.createDataFrame([(k << 24,) if k < 1 << 39 else ((k << 24) - (1 << 64),) for k in keys], "key long").repartition(5)
-    found = repeat_filter.repeated(df, lambda batch: [batch.column(0).to_numpy().view(np.uint64)])
+    found = repeat_filter.repeated(df, lambda batch: [batch.column(0).to_numpy().view(np.uint64)], 9)
     found = {((r["key"] + (1 << 64)) % (1 << 64)) >> 24: r["n"] for r in found.collect()}
     assert found == {k: n for k, n in Counter(keys).items() if n > 1}
-    assert repeat_filter.repeated(df.where("key = 0"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]).count() == 0
+    assert repeat_filter.repeated(df.where("key = 0"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], 9).count() == 0
 
 
 def test_tables_of_bits_follow_the_number_of_keys(spark):
@@ -331,6 +331,23 @@ def test_distributions_sum_to_one(spark, docs):
             assert (10**value).sum() + 10**unseen == pytest.approx(1, abs=1e-6)
 
 
+def test_sequences_met_once_are_not_counted(spark, docs, pairs):
+    """Transitions that occur twice are all counted; of those that occur once hardly any is sent to be counted."""
+    train = docs.select("text")
+    n = Counter()
+    for _, text in pairs:
+        tokens, rows = suffix_tree_lm.token_hashes([(text or "").encode()])
+        for places, contexts, _ in suffix_tree_lm.sequences(tokens, rows, 4):
+            n.update((int(c), int(t)) for c, t in zip(contexts.view(np.int64), tokens[places].view(np.int64), strict=True))
+    found = {(r["context"], r["symbol"]): r["n"] for r in suffix_tree_lm.transition_counts(train, 3, 2).collect()}
+    assert found == {k: v for k, v in n.items() if v > 1}
+    tables, sent = suffix_tree_lm.recurring_tables(train, 3), 0
+    for _, text in pairs:
+        sent += sum(len(hashes) for _, _, hashes in suffix_tree_lm.recurring(*suffix_tree_lm.token_hashes([(text or "").encode()]), 4, tables))
+    repeats, single = sum(v for v in n.values() if v > 1), sum(v for v in n.values() if v == 1)
+    assert repeats <= sent < repeats + 0.1 * single
+
+
 def test_tree_grows_with_the_corpus_and_depth(spark):
     """A context of 30 occurrences in 1.1 million tokens is a share below any fixed one that bounds the tree, and still tested."""
     filler = [" ".join(f"f{(j * 7919 + k * 31) % 5003}" for k in range(1000)) for j in range(1100)]
